@@ -55,7 +55,7 @@ ENGINE_VERSION = "2.1.3"
 def memtable_limit(mem_bytes: int, cache_bytes: int, heap_share: float, l0_files: int) -> int:
     """Adaptive write-buffer limit in bytes; on Spark it feeds maxBytesPerTrigger."""
     score = 0.5 * mem_bytes / cache_bytes + 0.3 * (1 - heap_share) + 0.2 * l0_files
-    return 8192 if score < 0.5 else 4096 if score < 1.0 else 2048
+    return 8192 if score < 0.3 else 4096 if score < 0.6 else 2048
 
 
 #: L0 files that force a compaction, then files per level that start one.
