@@ -12,7 +12,7 @@
    rare ones first by a table of CELLS counters. Shingles met in one component alone need no work.
 
 Steps 2 to 4 lose a linked pair with a probability under 0.25 ** SAFE_TREES, whatever the group sizes. Sets are
-never kept for all documents; texts of candidates are read again. Rows sharing a doc_id are one vertex; null and empty
+never kept for all documents: those of candidates are made in a second reading and saved once. Rows sharing a doc_id are one vertex; null and empty
 texts link with nothing; null ids only belong to their class, and are kept if it has no other id. An empty table gives
 an empty one; clashing columns are replaced.
 """
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import use_checkpoints
 from .components import components, relabel
-from .shingles import WordHasher, shingle_set
+from .shingles import MULT, WordHasher, finish, shingle_set
 from .text import table
 
 TREES, DEPTH, BLOCK, SAFE_TREES = 16, 4, 6, 12
 BEST, SIGNATURE_FLOOR = 2, 0.45
-CELLS, SEED = 1 << 18, 11
+CELLS, BITMAP, SEED = 1 << 18, 1 << 24, 11
 NUM, DEN = 75, 100
 _rng = np.random.default_rng(SEED)
 MUL = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -74,15 +74,47 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sig binary")
 
 
+def _bit(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (finish(ids.astype(np.uint64) * MULT) % np.uint64(BITMAP)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """BITMAP flags, packed: which hashes of ids occur. Built by partition and merged by slice; its size is fixed."""
+    width = BITMAP // 8 // 16
+
+    def flags(batches):
+        bits = np.zeros(BITMAP, bool)
+        for b in batches:
+            bits[_bit(b.column("id").to_numpy())] = True
+        packed = np.packbits(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([packed[k * width : (k + 1) * width].tobytes() for k in range(16)], pa.binary())], ["k", "bits"])
+
+    def merge(t):
+        bits = np.bitwise_or.reduce([np.frombuffer(c.as_py(), np.uint8) for c in t.column("bits")])
+        return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    kind, out = "k int, bits binary", np.zeros(BITMAP // 8, np.uint8)
+    for r in ids.select("id").mapInArrow(flags, kind).groupBy("k").applyInArrow(merge, kind).collect():
+        out[r.k * width : (r.k + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ids (id, distinct), from their texts."""
+    """(id, shingles) of the documents in ids (id, distinct), from their texts.
+
+    A bitmap of id hashes passes few other texts, so texts aren't shuffled; the join then makes the choice exact.
+    """
+    passing = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
+            b = b.filter(pa.array(passing.value[_bit(b.column("id").to_numpy())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(hasher(t.as_py())).tobytes() for t in b.column("text")], pa.binary())], ["id", "shingles"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id bigint, shingles binary")
+    some = docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null").mapInArrow(run, "id bigint, shingles binary")
+    return some.join(ids, "id", "left_semi")
 
 
 def similar_sizes(a: str, b: str) -> Column:
@@ -124,7 +156,7 @@ def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, near double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that are links on their full sets."""
 
     def run(batches):
@@ -132,17 +164,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets_of(docs, ids)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def exact_candidates(docs: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFrame:
+def exact_candidates(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs between different components among the risky ids that may reach 0.75, by prefix filtering."""
-    sets = sets_of(docs, risky.select("id"))
-    spark = docs.sparkSession
+    sets = sets.join(risky.select("id"), "id", "left_semi")
+    spark = sets.sparkSession
     width = CELLS // 16
 
     def tally(batches):
@@ -187,21 +217,23 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, label) for representatives (id, n, sig) that are linked with another."""
     pairs, risky = forest_candidates(reps)
     pairs = with_estimates(pairs, reps).checkpoint()
+    risky = risky.checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(risky.select("id")).distinct()
+    sets = sets_of(docs, ids).checkpoint()
     ranked = pairs.withColumns({f"r{c}": F.row_number().over(Window.partitionBy(c).orderBy(F.col("near").desc(), "a", "b")) for c in ("a", "b")})
     first = ranked.filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select("a", "b")
-    found = confirmed(first, docs).checkpoint()
+    found = confirmed(first, sets).checkpoint()
     labels = components(found)
     # Pairs within a component, or just refuted, need no look.
     rest = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")).join(first, ["a", "b"], "left_anti")
     rest = relabel(rest, labels).select(F.col("x").alias("a"), F.col("y").alias("b")).checkpoint()
     if rest.limit(1).count():
-        found = found.unionByName(confirmed(rest, docs)).checkpoint()
+        found = found.unionByName(confirmed(rest, sets)).checkpoint()
         labels = components(found)
-    risky = risky.checkpoint()
     if risky.limit(1).count():
-        more = with_estimates(exact_candidates(docs, risky, labels), reps).checkpoint()
+        more = with_estimates(exact_candidates(sets, risky, labels), reps).checkpoint()
         if more.limit(1).count():
-            found = found.unionByName(confirmed(more, docs)).checkpoint()
+            found = found.unionByName(confirmed(more, sets)).checkpoint()
             labels = components(found)
     return labels
 
