@@ -6,10 +6,10 @@
    depth that adapts to the region: in the shallowest prefix block of at most BLOCK members all pairs are taken; in
    blocks that stay larger only the next row is.
 3. Candidates whose sizes and signatures allow 0.75 (SIGNATURE_FLOOR lies over five deviations below) are confirmed on full
-   sets: the best partners of each first, then, after components are formed, every pair between components.
+   sets, and components are formed.
 4. A representative that lies in small first-level blocks in fewer than SAFE_TREES trees could have missed partners. Those
    are compared exactly: two sets at 0.75 share one of each other's first quarter of shingles in any common order, here
-   rare ones first by a table of CELLS counters. Shingles met in one component alone need no work.
+   rare ones first. Shingles met in one component alone need no work.
 
 Steps 2 to 4 lose a linked pair with a probability under 0.25 ** SAFE_TREES, whatever the group sizes. Sets are
 never kept for all documents: those of candidates are made in a second reading and saved once. Rows sharing a doc_id are one vertex; null and empty
@@ -31,8 +31,8 @@ from .shingles import MULT, WordHasher, finish, shingle_set
 from .text import table
 
 TREES, DEPTH, BLOCK, SAFE_TREES = 16, 4, 6, 12
-BEST, SIGNATURE_FLOOR = 2, 0.45
-CELLS, BITMAP, SEED = 1 << 18, 1 << 24, 11
+SIGNATURE_FLOOR = 0.45
+BITMAP, SEED = 1 << 23, 11
 NUM, DEN = 75, 100
 _rng = np.random.default_rng(SEED)
 MUL = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -97,7 +97,7 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     kind, out = "k int, bits binary", np.zeros(BITMAP // 8, np.uint8)
     for r in ids.select("id").mapInArrow(flags, kind).groupBy("k").applyInArrow(merge, kind).collect():
         out[r.k * width : (r.k + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -110,7 +110,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            b = b.filter(pa.array(passing.value[_bit(b.column("id").to_numpy())]))
+            at = _bit(b.column("id").to_numpy())
+            b = b.filter(pa.array((passing.value[at >> 3] << (at & 7) & 128) > 0))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(hasher(t.as_py())).tobytes() for t in b.column("text")], pa.binary())], ["id", "shingles"])
 
     some = docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null").mapInArrow(run, "id bigint, shingles binary")
@@ -122,7 +123,7 @@ def similar_sizes(a: str, b: str) -> Column:
 
 
 def forest_candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b with both sizes, ids that need the exact step with n)."""
+    """(pairs a < b with both sizes, ids that need the exact step)."""
     trees = reps.select("id", "n", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
     trees = trees.withColumns({f"p{d}": F.substring("key", 1, 4 * d) for d in range(1, DEPTH + 1)})
     for d in range(1, DEPTH + 1):
@@ -138,7 +139,7 @@ def forest_candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = near.filter((F.col("o.k") == 1) | ((F.col("depth") <= DEPTH) & shares))
     pairs = pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.col("n").alias("n1"), F.col("o.n").alias("n2"))
     pairs = pairs.filter((F.col("a") != F.col("b")) & similar_sizes("n1", "n2")).select("a", "b").distinct()
-    risky = trees.groupBy("id").agg(F.count_if(F.col("c1") <= BLOCK).alias("small"), F.max("n").alias("n")).filter(F.col("small") < SAFE_TREES).select("id", "n")
+    risky = trees.groupBy("id").agg(F.count_if(F.col("c1") <= BLOCK).alias("small")).filter(F.col("small") < SAFE_TREES).select("id")
     return pairs, risky
 
 
@@ -170,45 +171,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def exact_candidates(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs between different components among the risky ids that may reach 0.75, by prefix filtering."""
-    sets = sets.join(risky.select("id"), "id", "left_semi")
-    spark = sets.sparkSession
-    width = CELLS // 16
-
-    def tally(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for s in b.column("shingles"):
-                cells += np.bincount((np.frombuffer(s.as_py(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([cells[k * width : (k + 1) * width].tobytes() for k in range(16)], pa.binary())], ["k", "cells"])
-
-    def add(t):
-        cells = np.sum([np.frombuffer(c.as_py(), np.int64) for c in t.column("cells")], axis=0)
-        return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
+    """Pairs between different components among the risky ids that may reach 0.75, by prefix filtering.
 
-    kind = "k int, cells binary"
-    counts = np.zeros(CELLS, np.int64)
-    for r in sets.mapInArrow(tally, kind).groupBy("k").applyInArrow(add, kind).collect():
-        counts[r.k * width : (r.k + 1) * width] = np.frombuffer(r.cells, np.int64)
-    ranks = spark.sparkContext.broadcast(counts)
+    The common order is by document count, then hash. A shingle of one document can't make a pair, but takes its place
+    at the front of that document's order; one met in a single component is not looked at further.
+    """
+    named = risky.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
-    def prefixes(batches):
+    def spread(batches):
         for b in batches:
-            ids, out = [], []
-            for i, s in zip(b.column("id").to_pylist(), b.column("shingles"), strict=True):
-                x = np.frombuffer(s.as_py(), np.uint64)
-                order = np.lexsort((x, ranks.value[(x % np.uint64(CELLS)).astype(np.int64)]))
-                first = x[order[: len(x) - -(-NUM * len(x) // DEN) + 1]]
-                ids.append(np.full(len(first), i, np.int64))
-                out.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or [np.zeros(0, np.int64)])), pa.array(np.concatenate(out or [np.zeros(0, np.int64)]))], ["id", "shingle"])
-
-    rows = sets.mapInArrow(prefixes, "id bigint, shingle bigint").join(risky, "id").join(labels, "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label")).checkpoint()
-    mixed = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
+            parts = [np.frombuffer(s.as_py(), np.int64) for s in b.column("shingles")]
+            sizes = [len(x) for x in parts]
+            ids, labels_ = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("id", "label"))
+            n = np.repeat(np.array(sizes, np.int64), sizes)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, labels_, n, flat)], ["id", "label", "n", "shingle"])
+
+    rows = sets.join(named, "id").select("id", "label", "shingles").mapInArrow(spread, "id bigint, label bigint, n bigint, shingle bigint")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("m > 1")
+    rows = rows.join(counts, "shingle")
+    w = Window.partitionBy("id")
+    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    place = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("m", "shingle"))
+    rows = rows.withColumn("_place", place).filter((F.col("_place") <= first) & (F.col("lo") != F.col("hi"))).select("shingle", "id", "n", "label").checkpoint()
     # The bulk of a shingle's rows is mostly one component; others meet it, and each other.
-    usual = rows.join(mixed.select("shingle"), "shingle", "left_semi").groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("label", "m").alias("usual"))
-    rows = rows.join(usual, "shingle")
-    odd = rows.filter("label <> usual").select("shingle", F.col("id").alias("a0"), F.col("n").alias("na"), F.col("label").alias("la"))
+    usual = rows.groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("label", F.struct("m", "label")).alias("usual"))
+    odd = rows.join(usual, "shingle").filter("label <> usual").select("shingle", F.col("id").alias("a0"), F.col("n").alias("na"), F.col("label").alias("la"))
     pairs = odd.join(rows.select("shingle", F.col("id").alias("b0"), F.col("n").alias("nb"), F.col("label").alias("lb")), "shingle").filter((F.col("la") != F.col("lb")) & similar_sizes("na", "nb"))
     return pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
 
@@ -217,27 +205,29 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, label) for representatives (id, n, sig) that are linked with another."""
     pairs, risky = forest_candidates(reps)
     pairs = with_estimates(pairs, reps).checkpoint()
-    risky = risky.checkpoint()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(risky.select("id")).distinct()
+    risky = risky.select("id").checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(risky).distinct()
     sets = sets_of(docs, ids).checkpoint()
-    ranked = pairs.withColumns({f"r{c}": F.row_number().over(Window.partitionBy(c).orderBy(F.col("near").desc(), "a", "b")) for c in ("a", "b")})
-    first = ranked.filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select("a", "b")
-    found = confirmed(first, sets).checkpoint()
+    found = confirmed(pairs, sets).checkpoint()
     labels = components(found)
-    # Pairs within a component, or just refuted, need no look.
-    rest = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")).join(first, ["a", "b"], "left_anti")
-    rest = relabel(rest, labels).select(F.col("x").alias("a"), F.col("y").alias("b")).checkpoint()
-    if rest.limit(1).count():
-        found = found.unionByName(confirmed(rest, sets)).checkpoint()
-        labels = components(found)
     if risky.limit(1).count():
         more = with_estimates(exact_candidates(sets, risky, labels), reps).checkpoint()
         if more.limit(1).count():
-            found = found.unionByName(confirmed(more, sets)).checkpoint()
-            labels = components(found)
+            found = confirmed(more, sets).checkpoint()
+            if found.limit(1).count():
+                # Components stay; the new links only join them.
+                joined = components(relabel(found, labels))
+                both = labels.unionByName(relabeled_ids(found, labels)).distinct()
+                labels = both.join(joined.select(F.col("id").alias("label"), F.col("label").alias("_low")), "label", "left").select("id", F.coalesce("_low", "label").alias("label"))
     return labels
 
 
+def relabeled_ids(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ids of new links that had no component, each as its own label."""
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ids.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs' doc_id with n_shingles, component_id and kept: a row for each row of docs."""
     use_checkpoints(docs.sparkSession)
