@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .shingles import MULT, WordHasher, finish, shingle_set
 from .text import table
 
 TREES, DEPTH, BLOCK, SAFE_TREES = 16, 4, 6, 12
-SIGNATURE_FLOOR = 0.45
+SIGNATURE_FLOOR, PART = 0.45, 256
 BITMAP, SEED = 1 << 23, 11
 NUM, DEN = 75, 100
 _rng = np.random.default_rng(SEED)
@@ -170,11 +171,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def exact_candidates(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs between different components among the risky ids that may reach 0.75, by prefix filtering.
+def exact_links(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between different components among the risky ids, by prefix filtering and blocks.
 
     The common order is by document count, then hash. A shingle of one document can't make a pair, but takes its place
-    at the front of that document's order; one met in a single component is not looked at further.
+    at the front of that document's order; one met in a single component is not looked at further. Components that
+    share a shingle of this front form a region, outside of which nothing of theirs can link. In a region, the
+    documents outside its largest component are compared with all, PART by PART, and only links leave a task. Time
+    is the product of the two counts, at a few hundred thousand pairs a second; rows moved are that over PART.
     """
     named = risky.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
@@ -193,12 +197,42 @@ def exact_candidates(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> Da
     w = Window.partitionBy("id")
     first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
     place = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("m", "shingle"))
-    rows = rows.withColumn("_place", place).filter((F.col("_place") <= first) & (F.col("lo") != F.col("hi"))).select("shingle", "id", "n", "label").checkpoint()
-    # The bulk of a shingle's rows is mostly one component; others meet it, and each other.
-    usual = rows.groupBy("shingle", "label").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("label", F.struct("m", "label")).alias("usual"))
-    odd = rows.join(usual, "shingle").filter("label <> usual").select("shingle", F.col("id").alias("a0"), F.col("n").alias("na"), F.col("label").alias("la"))
-    pairs = odd.join(rows.select("shingle", F.col("id").alias("b0"), F.col("n").alias("nb"), F.col("label").alias("lb")), "shingle").filter((F.col("la") != F.col("lb")) & similar_sizes("na", "nb"))
-    return pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
+    rows = rows.withColumn("_place", place).filter((F.col("_place") <= first) & (F.col("lo") != F.col("hi"))).select("id", "label", "lo").distinct().checkpoint()
+    regions = components(rows.select(F.col("lo").alias("a"), F.col("label").alias("b")).distinct()).select(F.col("id").alias("label"), F.col("label").alias("region"))
+    members = rows.select("id", "label").distinct().join(regions, "label").checkpoint()
+    largest = members.groupBy("region", "label").agg(F.count("*").alias("m")).groupBy("region").agg(F.sum("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("usual"), F.max("m").alias("most"))
+    parts = [F.ceil(F.col(c) / PART).cast("int") for c in ("m", "odd")]
+    spans = largest.withColumn("odd", F.col("m") - F.col("most")).filter("odd > 0").select("region", "usual", parts[0].alias("rows"), parts[1].alias("cols"))
+    full = members.join(spans, "region").join(sets, "id")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    row, col = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).cast("int")
+    asked = full.filter("label <> usual").select("region", up_to("rows").alias("row"), col.alias("col"), "id", "label", "shingles", F.lit(True).alias("asks"))
+    given = full.select("region", row.alias("row"), up_to("cols").alias("col"), "id", "label", "shingles", F.lit(False).alias("asks"))
+    return asked.unionByName(given).groupBy("region", "row", "col").applyInArrow(compare_blocks, "a bigint, b bigint")
+
+
+def compare_blocks(t: pa.Table) -> pa.Table:
+    """Links of the rows that ask with the others, through an inverted index of the others."""
+    asks = t.filter(t.column("asks"))
+    given = t.filter(pa.compute.invert(t.column("asks")))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in given.column("shingles")]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if sets and asks.num_rows:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        ids, labels = given.column("id").to_numpy(), given.column("label").to_numpy()
+        for i, label, x in zip(asks.column("id").to_pylist(), asks.column("label").to_pylist(), asks.column("shingles"), strict=True):
+            x = np.frombuffer(x.as_py(), np.uint64)
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            n = hi - lo
+            hits = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            inter = np.bincount(owner[hits], minlength=len(sets))
+            ok = (inter > 0) & (DEN * inter >= NUM * (len(x) + sizes - inter)) & (labels != label)
+            a.append(np.minimum(ids[ok], i))
+            b.append(np.maximum(ids[ok], i))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -211,14 +245,12 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     found = confirmed(pairs, sets).checkpoint()
     labels = components(found)
     if risky.limit(1).count():
-        more = with_estimates(exact_candidates(sets, risky, labels), reps).checkpoint()
-        if more.limit(1).count():
-            found = confirmed(more, sets).checkpoint()
-            if found.limit(1).count():
-                # Components stay; the new links only join them.
-                joined = components(relabel(found, labels))
-                both = labels.unionByName(relabeled_ids(found, labels)).distinct()
-                labels = both.join(joined.select(F.col("id").alias("label"), F.col("label").alias("_low")), "label", "left").select("id", F.coalesce("_low", "label").alias("label"))
+        found = exact_links(sets, risky, labels).distinct().checkpoint()
+        if found.limit(1).count():
+            # Components stay; the new links only join them.
+            joined = components(relabel(found, labels))
+            both = labels.unionByName(relabeled_ids(found, labels)).distinct()
+            labels = both.join(joined.select(F.col("id").alias("label"), F.col("label").alias("_low")), "label", "left").select("id", F.coalesce("_low", "label").alias("label"))
     return labels
 
 
