@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links a task should have at least, so that small tables aren't dealt to hundreds of tasks in every round.
+TASK_LINKS = 20_000
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now: Spark's cleaner then drops the shuffles and broadcasts of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in links (a, b): label is the smallest id reachable.
 
     Each round takes the least label among a vertex and its neighbours, then the label of that label, so chains
-    halve. State is cut by checkpoint() in the shared folder; the driver sees one count a round.
+    halve; it ends when no link joins two labels. State is cut by checkpoint() in the shared folder; the driver sees
+    one flag a round.
     """
+    spark = links.sparkSession
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")).checkpoint()
+    tasks = max(4, edges.count() // TASK_LINKS)
+    edges = edges.coalesce(tasks)
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")).coalesce(tasks).checkpoint()
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = edges.join(labels.withColumnRenamed("id", "b"), "b").coalesce(tasks).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"), F.max("label").alias("far"))
+        lower = labels.join(near, "id").select("id", (F.greatest("label", "far") > F.least("label", "near")).alias("open"), F.least("label", "near").alias("label")).coalesce(tasks)
         jump = lower.select(F.col("id").alias("_to"), F.col("label").alias("_label"))
-        wide = lower.join(jump, F.col("label") == F.col("_to"), "left").select("id", "old", F.least("label", F.coalesce("_label", "label")).alias("label")).checkpoint()
+        wide = lower.join(jump, F.col("label") == F.col("_to"), "left").select("id", "open", F.least("label", F.coalesce("_label", "label")).alias("label")).coalesce(tasks).checkpoint()
         labels = wide.select("id", "label")
-        if wide.filter("label <> old").limit(1).count() == 0:
+        done = wide.filter("open").limit(1).count() == 0
+        release(spark)
+        if done:
             return labels
 
 

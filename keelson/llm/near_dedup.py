@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import use_checkpoints
-from .components import components, relabel
+from .components import components, relabel, release
 from .shingles import MULT, WordHasher, finish, shingle_set
 from .text import table
 
@@ -242,10 +242,12 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     risky = risky.select("id").checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(risky).distinct()
     sets = sets_of(docs, ids).checkpoint()
+    release(docs.sparkSession)
     found = confirmed(pairs, sets).checkpoint()
     labels = components(found)
     if risky.limit(1).count():
         found = exact_links(sets, risky, labels).distinct().checkpoint()
+        release(docs.sparkSession)
         if found.limit(1).count():
             # Components stay; the new links only join them.
             joined = components(relabel(found, labels))
