@@ -7,8 +7,9 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Links a task should have at least, so that small tables aren't dealt to hundreds of tasks in every round.
-TASK_LINKS = 20_000
+#: Links a task should have at least, so that small tables aren't dealt to hundreds of tasks in every round. Below twice
+#: this number one task does a round without any shuffle.
+TASK_LINKS = 50_000
 
 
 def release(spark: SparkSession) -> None:
@@ -26,15 +27,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    tasks = max(4, edges.count() // TASK_LINKS)
+    tasks = max(1, edges.count() // TASK_LINKS)
     edges = edges.coalesce(tasks)
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")).coalesce(tasks).checkpoint()
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")).coalesce(tasks).checkpoint().coalesce(tasks)
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").coalesce(tasks).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"), F.max("label").alias("far"))
         lower = labels.join(near, "id").select("id", (F.greatest("label", "far") > F.least("label", "near")).alias("open"), F.least("label", "near").alias("label")).coalesce(tasks)
         jump = lower.select(F.col("id").alias("_to"), F.col("label").alias("_label"))
         wide = lower.join(jump, F.col("label") == F.col("_to"), "left").select("id", "open", F.least("label", F.coalesce("_label", "label")).alias("label")).coalesce(tasks).checkpoint()
-        labels = wide.select("id", "label")
+        labels = wide.select("id", "label").coalesce(tasks)
         done = wide.filter("open").limit(1).count() == 0
         release(spark)
         if done:
