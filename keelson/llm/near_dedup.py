@@ -198,8 +198,10 @@ def exact_links(sets: DataFrame, risky: DataFrame, labels: DataFrame) -> DataFra
     first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
     place = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("m", "shingle"))
     rows = rows.withColumn("_place", place).filter((F.col("_place") <= first) & (F.col("lo") != F.col("hi"))).select("id", "label", "lo").distinct().checkpoint()
+    release(sets.sparkSession)
     regions = components(rows.select(F.col("lo").alias("a"), F.col("label").alias("b")).distinct()).select(F.col("id").alias("label"), F.col("label").alias("region"))
     members = rows.select("id", "label").distinct().join(regions, "label").checkpoint()
+    release(sets.sparkSession)
     largest = members.groupBy("region", "label").agg(F.count("*").alias("m")).groupBy("region").agg(F.sum("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("usual"), F.max("m").alias("most"))
     parts = [F.ceil(F.col(c) / PART).cast("int") for c in ("m", "odd")]
     spans = largest.withColumn("odd", F.col("m") - F.col("most")).filter("odd > 0").select("region", "usual", parts[0].alias("rows"), parts[1].alias("cols"))
@@ -241,6 +243,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     pairs = with_estimates(pairs, reps).checkpoint()
     risky = risky.select("id").checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(risky).distinct()
+    release(docs.sparkSession)
     sets = sets_of(docs, ids).checkpoint()
     release(docs.sparkSession)
     found = confirmed(pairs, sets).checkpoint()
@@ -269,7 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = signatures(docs).checkpoint()
     classes = sig.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).checkpoint()
     reps = classes.filter("id is not null").select("id", "n", "sig")
-    labels = links(docs, reps)
+    labels = links(docs, reps).checkpoint()
+    release(docs.sparkSession)
     top = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     out = sig.drop("sig").join(top, "digest", "left")
     comp = F.coalesce("component_id", "doc_id")
