@@ -6,8 +6,8 @@ A text's tokens are its words, A-Z lower-cased, then END. With c counts in the t
     P(w | h)  = d(c(h w)) c(h w) / (c(h) + 1) if c(h w) >= MIN_COUNT, else a(h) P(w)
     a(h)      = (1 - sum of the first kind) / (1 - sum of P(w) over the same w)
 
-d is Katz's discount up to a count of K and 1 above. Bigrams below MIN_COUNT are left to the backoff (their discount
-is 0, a usual choice for Katz models), though their counts are taken in full. The 1 in c(h) + 1 keeps some mass for the
+d is Katz's discount up to a count of K and 1 above. MIN_COUNT is 1: every bigram of the training texts is in the model.
+A larger one leaves rarer bigrams to the backoff. The 1 in c(h) + 1 keeps some mass for the
 backoff of every history; each distribution sums to 1 for any MIN_COUNT. A text's first token has no history.
 
 Tables, all partitioned and none on the driver: documents are read once into chunks of about CHUNK_TOKENS tokens
@@ -37,7 +37,7 @@ from ..session import use_checkpoints
 from .shingles import MULT, WordHasher, finish
 from .text import table
 
-CHUNK_TOKENS, K, MIN_COUNT = 2_000_000, 5, 2
+CHUNK_TOKENS, K, MIN_COUNT = 2_000_000, 5, 1
 END = np.uint64(0x0123456789ABCDEF)
 WORDS, PAIRS, TOTALS = 0, 1, 2
 CHUNK = "chunk bigint, docs binary, held binary, lens binary, vocab binary, tokens binary"
