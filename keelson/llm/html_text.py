@@ -5,14 +5,19 @@ zone: DROPPED (menus, headers outside an article, footers, sidebars, notices, ad
 role or class), MAIN (in an article, main element or content container) or OTHER. Where a page has no main container,
 its OTHER blocks stand for the text, apart from those that are mostly links.
 
-``extract`` sorts pages by host and path and pairs each with its nearer neighbour, by common path prefix; a neighbour
-that is a copy (COPY_SHARE of the text is shared) gives way to the other one, or to no pair. Lines are aligned by longest
-common subsequence, and shared lines are deleted: OTHER lines always, MAIN lines only when both neighbours have them and
-they look like furniture (short, without a closing full stop), as articles may share real sentences.
-
-Pages are cut into blocks of neighbours by sampled boundaries; the first and last page of a block, found exactly, also go
-to the block next to it, so the result doesn't depend on the cut. Boundaries are at most MAX_BLOCKS. Null html gives the
-empty text; null urls share the empty host; repeated rows are copies of each other; an empty table gives an empty one.
+``extract`` sorts pages by host and path. Adjacent pages are copies if their lines are equal, or if each has at most
+COPY_REST of its text besides the lines that they share; copies in turn make a run, of any length. A page is compared with
+the nearest page of its host before its run and the one after it, first with the nearer by common path prefix; a page
+that has all but COPY_REST of its text in one of them (it is contained there) gets no deletions by that one. Lines are
+aligned by longest common subsequence, and shared lines are deleted: OTHER lines always, MAIN lines only when both
+neighbours have them and they look like furniture (short, without a closing full stop), as articles may share real
+sentences. Pages whose own text is at most COPY_REST of the page can't be told from copies, and keep their text whole.
+
+Pages are cut into blocks of neighbours by sampled boundaries. The first and last page of a block are found exactly; where
+a run crosses a boundary, the blocks beside it are read for their first and last runs, and each block gets the page beyond
+the run at either edge, however many blocks away, so the result doesn't depend on the cut. Boundaries are at most
+MAX_BLOCKS. Null html gives the empty text; null urls share the empty host; repeated rows are copies of each other; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from .urls import with_host_and_path
 
 DROPPED, OTHER, MAIN = 0, 1, 2
 BLOCK_PAGES, MAX_BLOCKS, SAMPLE = 400, 2000, 100
-COPY_SHARE, SHORT_WORDS, LINK_SHARE = 0.5, 12, 0.5
+COPY_REST, SHORT_WORDS, LINK_SHARE = 0.1, 12, 0.5
 
 #: Fixed vocabularies of HTML elements and of class or id words.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
@@ -145,8 +150,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b.
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions in a and in b of a longest common subsequence, in no order.
 
     By matches and a rising run of positions in b. Lines that both repeat so often that matches would pass a million
     are matched by their number of occurrence instead.
@@ -156,7 +161,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
         begin += 1
     while ea > begin and eb > begin and a[ea - 1] == b[eb - 1]:
         ea, eb = ea - 1, eb - 1
-    out = {*range(begin), *range(ea, len(a))}
+    out = [*((k, k) for k in range(begin)), *zip(range(ea, len(a)), range(eb, len(b)), strict=True)]
     where: dict[str, list[int]] = {}
     for j in range(begin, eb):
         where.setdefault(b[j], []).append(j)
@@ -175,7 +180,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     for i in sorted(matches):
         for j in reversed(matches[i]):
             k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
+            node = (i, j, nodes[k - 1] if k else None)
             if k == len(tails):
                 tails.append(j)
                 nodes.append(node)
@@ -183,11 +188,16 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 tails[k], nodes[k] = j, node
     node = nodes[-1] if nodes else None
     while node:
-        out.add(node[0])
-        node = node[1]
+        out.append(node[:2])
+        node = node[2]
     return out
 
 
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in a of a longest common subsequence with b."""
+    return {i for i, _ in aligned(a, b)}
+
+
 def _looks_like_furniture(line: str) -> bool:
     return len(line.split(" ", SHORT_WORDS)) <= SHORT_WORDS and line[-1] not in ".!?…:;\"”»"
 
@@ -201,23 +211,63 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def difference(page: dict, before: dict | None, after: dict | None) -> str:
-    """Text of a page, given its neighbours on the same host (path, lines, zones) or None."""
-    lines, zones = page["lines"], page["zones"]
-    want = MAIN if MAIN in zones else OTHER
-    size = sum(len(x) for x, z in zip(lines, zones, strict=True) if z == want) or 1
-    near = sorted((n for n in (before, after) if n), key=lambda n: (-_prefix(n["path"], page["path"]), n is after))
-    found = []
-    for n in near:
-        hit = shared_lines(lines, n["lines"])
-        if sum(len(lines[i]) for i in hit if zones[i] == want) <= COPY_SHARE * size:
-            found.append(hit)
-    gone: set[int] = set()
-    if found:
-        gone |= {i for i in found[0] if zones[i] == OTHER}
-    if len(found) == 2:
-        gone |= {i for i in found[0] & found[1] if zones[i] == MAIN and _looks_like_furniture(lines[i])}
-    return "\n".join(x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == want and i not in gone)
+def _wanted(page: dict) -> int:
+    return MAIN if MAIN in page["zones"] else OTHER
+
+
+def _is_contained(page: dict, hit: set[int]) -> bool:
+    """Whether at most COPY_REST of the text is outside the lines hit."""
+    want = _wanted(page)
+    sizes = [(len(x), i in hit) for i, (x, z) in enumerate(zip(page["lines"], page["zones"], strict=True)) if z == want]
+    return sum(n for n, shared in sizes if not shared) <= COPY_REST * sum(n for n, _ in sizes)
+
+
+class Host:
+    """Sorted pages (host, path, lines, zones), with alignments kept as long as pages are compared in order."""
+
+    def __init__(self, pages: list[dict]):
+        self.pages = pages
+        self.held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def hits(self, i: int, j: int) -> tuple[set[int], set[int]]:
+        """Shared positions in page i and in page j."""
+        x, y = min(i, j), max(i, j)
+        if (x, y) not in self.held:
+            if len(self.held) > 2:
+                self.held.pop(next(iter(self.held)))
+            self.held[x, y] = aligned(self.pages[x]["lines"], self.pages[y]["lines"])
+        pairs = self.held[x, y]
+        left, right = {k for k, _ in pairs}, {k for _, k in pairs}
+        return (left, right) if i == x else (right, left)
+
+    def are_copies(self, i: int, j: int) -> bool:
+        a, b = self.pages[i], self.pages[j]
+        if a["host"] != b["host"] or a["lines"] == b["lines"]:
+            return a["host"] == b["host"]
+        in_a, in_b = self.hits(i, j)
+        return _is_contained(a, in_a) and _is_contained(b, in_b)
+
+    def runs(self, begin: int, end: int):
+        """(first, end) of each run of copies among pages begin to end."""
+        first = begin
+        for k in range(begin + 1, end + 1):
+            if k == end or not self.are_copies(k - 1, k):
+                yield first, k
+                first = k
+
+    def text(self, k: int, before: int, after: int) -> str:
+        """Text of page k, given the places of its neighbours beyond its run."""
+        page, pages = self.pages[k], self.pages
+        lines, zones, want = page["lines"], page["zones"], _wanted(page)
+        near = [j for j in (before, after) if 0 <= j < len(pages) and pages[j]["host"] == page["host"]]
+        near.sort(key=lambda j: (-_prefix(pages[j]["path"], page["path"]), j > k))
+        found = [hit for hit in (self.hits(k, j)[0] for j in near) if not _is_contained(page, hit)]
+        gone: set[int] = set()
+        if found:
+            gone |= {i for i in found[0] if zones[i] == OTHER}
+        if len(found) == 2:
+            gone |= {i for i in found[0] & found[1] if zones[i] == MAIN and _looks_like_furniture(lines[i])}
+        return "\n".join(x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == want and i not in gone)
 
 
 def _order(host: str, path: str, page_id: int | None, check: int) -> tuple:
@@ -249,41 +299,95 @@ def extract(pages: DataFrame) -> DataFrame:
         rows = [(x, *lo[x], *hi[x]) for x in lo]
         yield pa.RecordBatch.from_pylist([dict(zip(ENDS.names, r, strict=True)) for r in rows], ENDS)
 
-    spread = keys.mapInArrow(ends, "block int, h0 string, p0 string, i0 bigint, x0 bigint, h1 string, p1 string, i1 bigint, x1 bigint")
+    spread = keys.mapInArrow(ends, ENDS_DDL)
     first, last = F.struct("h0", "p0", "i0", "x0"), F.struct("h1", "p1", "i1", "x1")
     edge = {r.block: (tuple(r.lo), tuple(r.hi)) for r in spread.groupBy("block").agg(F.min(first).alias("lo"), F.max(last).alias("hi")).collect()}
-    full = sorted(edge)
-    plan = spark.sparkContext.broadcast((cuts, {edge[b][0]: p for p, b in zip(full, full[1:], strict=False)}, {edge[b][1]: q for b, q in zip(full, full[1:], strict=False)}))
+    source = d.select("host", "path", "page_id", "_h", "url", "html")
+
+    def read(where):
+        """Pages as lines, in each block that where(key, block) names; away from their own, they are ghosts."""
+
+        def run(batches):
+            for b in batches:
+                rows = []
+                for host, path, page_id, check, url, text in zip(*[b.column(c).to_pylist() for c in ("host", "path", "page_id", "_h", "url", "html")], strict=True):
+                    k = _order(host, path, page_id, check)
+                    own = bisect_right(held.value, k)
+                    if to := where(k, own):
+                        found = blocks(text)
+                        row = {"host": host, "path": path, "page_id": page_id, "h": check, "url": url, "lines": [x for x, _ in found], "zones": [z for _, z in found]}
+                        rows += [row | {"block": x, "ghost": x != own} for x in to]
+                yield pa.RecordBatch.from_pylist(rows, LINES)
+
+        return run
+
+    def sorted_pages(group: pa.Table) -> Host:
+        return Host(sorted(group.to_pylist(), key=lambda r: _order(r["host"], r["path"], r["page_id"], r["h"])))
+
+    def joins(group: pa.Table) -> pa.Table:
+        """Whether the last page of a block and the first of the next one are copies."""
+        h = sorted_pages(group)
+        return pa.Table.from_pylist([{"block": r["block"], "joined": h.are_copies(0, len(h.pages) - 1)} for r in h.pages[:1]], JOINS)
+
+    def outline(group: pa.Table) -> pa.Table:
+        """The first page after the first run and the last one before the last run; a block of one run has none."""
+        h = sorted_pages(group)
+        found = list(h.runs(0, len(h.pages)))
+        key = [_order(r["host"], r["path"], r["page_id"], r["h"]) for r in (h.pages[found[0][1] % len(h.pages)], h.pages[found[-1][0] - 1])]
+        rows = [(h.pages[0]["block"], *key[0], *key[1])] if len(found) > 1 else []
+        return pa.Table.from_pylist([dict(zip(ENDS.names, r, strict=True)) for r in rows], ENDS)
 
-    def read(batches):
-        cuts, to_previous, to_next = plan.value
-        for b in batches:
-            rows = []
-            for host, path, page_id, check, url, text in zip(*[b.column(c).to_pylist() for c in ("host", "path", "page_id", "_h", "url", "html")], strict=True):
-                found = blocks(text)
-                row = {"block": 0, "ghost": False, "host": host, "path": path, "page_id": page_id, "h": check, "url": url, "lines": [x for x, _ in found], "zones": [z for _, z in found]}
-                k = _order(host, path, page_id, check)
-                rows.append(row | {"block": bisect_right(cuts, k)})
-                rows += [row | {"block": to[k], "ghost": True} for to in (to_previous, to_next) if k in to]
-            yield pa.RecordBatch.from_pylist(rows, LINES)
+    full = sorted(edge)
+    beside = [(p, q) for p, q in zip(full, full[1:], strict=False) if edge[p][1][0] == edge[q][0][0]]
+    joined: set[int] = set()
+    inner: dict[int, tuple] = {}
+    if beside:
+        tips: dict[tuple, list[int]] = {}
+        for p, q in beside:
+            for k in {edge[p][1], edge[q][0]}:
+                tips.setdefault(k, []).append(p)
+        at_edges = spark.sparkContext.broadcast(tips)
+        some = spark.createDataFrame([(x,) for x in {k[3] for k in tips}], "_h bigint")
+        edges = source.join(F.broadcast(some), "_h", "left_semi").mapInArrow(read(lambda k, own: at_edges.value.get(k)), LINES_DDL)
+        joined = {r.block for r in edges.groupBy("block").applyInArrow(joins, "block int, joined boolean").filter("joined").collect()}
+    if joined:
+        asked = spark.sparkContext.broadcast(joined | {q for p, q in beside if p in joined})
+        whole = source.mapInArrow(read(lambda k, own: [own] if own in asked.value else None), LINES_DDL)
+        for r in whole.groupBy("block").applyInArrow(outline, ENDS_DDL).collect():
+            inner[r.block] = (tuple(r[1:5]), tuple(r[5:9]))
+    # Pages beyond the runs at a block's edges, from the block beside it or, where that is of one run, from what it got.
+    before: dict[int, tuple | None] = {}
+    after: dict[int, tuple | None] = {}
+    for p, q in zip(full, full[1:], strict=False):
+        before[q] = edge[p][1] if p not in joined else inner[p][1] if p in inner else before.get(p)
+    for p, q in reversed(list(zip(full, full[1:], strict=False))):
+        after[p] = edge[q][0] if p not in joined else inner[q][0] if q in inner else after.get(q)
+    ghosts: dict[tuple, list[int]] = {}
+    for side in (before, after):
+        for x, k in side.items():
+            if k:
+                ghosts.setdefault(k, []).append(x)
+    plan = spark.sparkContext.broadcast(ghosts)
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        rows.sort(key=lambda r: _order(r["host"], r["path"], r["page_id"], r["h"]))
+        h = sorted_pages(group)
+        own = [k for k, r in enumerate(h.pages) if not r["ghost"]]
         out = []
-        for k, r in enumerate(rows):
-            if not r["ghost"]:
-                near = [rows[j] if 0 <= j < len(rows) and rows[j]["host"] == r["host"] else None for j in (k - 1, k + 1)]
-                text = difference(r, *near)
+        for first, end in h.runs(own[0], own[-1] + 1) if own else ():
+            for k in range(first, end):
+                r, text = h.pages[k], h.text(k, first - 1, end)
                 out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text)})
         return pa.Table.from_pylist(out, RESULT)
 
-    lines = d.select("host", "path", "page_id", "_h", "url", "html").mapInArrow(read, "block int, ghost boolean, host string, path string, page_id bigint, h bigint, url string, lines array<string>, zones array<tinyint>")
+    lines = source.mapInArrow(read(lambda k, own: [own, *plan.value.get(k, ())]), LINES_DDL)
     return lines.groupBy("block").applyInArrow(compare, "page_id bigint, url string, text string, n_chars bigint")
 
 
+LINES_DDL = "block int, ghost boolean, host string, path string, page_id bigint, h bigint, url string, lines array<string>, zones array<tinyint>"
+ENDS_DDL = "block int, h0 string, p0 string, i0 bigint, x0 bigint, h1 string, p1 string, i1 bigint, x1 bigint"
 ENDS = pa.schema([("block", pa.int32()), *[(f"{c}{k}", t) for k in (0, 1) for c, t in (("h", pa.string()), ("p", pa.string()), ("i", pa.int64()), ("x", pa.int64()))]])
 LINES = pa.schema([("block", pa.int32()), ("ghost", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("h", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
+JOINS = pa.schema([("block", pa.int32()), ("joined", pa.bool_())])
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 

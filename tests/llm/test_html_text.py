@@ -47,6 +47,29 @@ def test_template_goes_without_structure(spark):
         assert r.text == "\n".join(f"Story {r.page_id} part {j}, told at some length for page {r.page_id}." for j in range(4)) and r.n_chars == len(r.text)
 
 
+def test_template_larger_than_the_text_goes(spark):
+    menu = "".join(f"<div>Department {j} of the daily site</div>" for j in range(14))
+    rows = [(k, f"http://h{k % 2}.org/a/{k:05d}", f"<body>{menu}" + "".join(f"<p>Own {k} part {j}, told at some length for the page numbered {k}.</p>" for j in range(4)) + "</body>") for k in range(100)]
+    got = h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 100 and all(r.text == "\n".join(f"Own {r.page_id} part {j}, told at some length for the page numbered {r.page_id}." for j in range(4)) for r in got)
+
+
+def test_runs_of_copies_reach_beyond_block_edges(spark, monkeypatch):
+    """Runs of 1 to 900 copies, exact ones and ones with a line of their own, are compared with the pages beside the run."""
+    rows, want, k = [], {}, 0
+    for story, n in enumerate([3, 1, 900, 4, 1, 1, 300, 5, 2]):
+        for _ in range(n):
+            own = [f"Story {story} part {j}, told at {'great ' * story}length." for j in range(12)] + [f"Seen {k}"] * (story % 2)
+            rows.append((k, f"http://one.org/a/{story}?ref={k}", "<body><div>Daily site</div><div>Top stories</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights reserved</div></body>"))
+            want[k] = "\n".join(own)
+            k += 1
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (10, 100, 10**6):
+        monkeypatch.setattr(h, "BLOCK_PAGES", size)
+        got = {r.page_id: r.text for r in h.extract(df).collect()}
+        assert got == want
+
+
 def test_copies_and_edges(spark):
     art = "<article><p>The.</p><p>Same words here</p><p>{}</p><p>Share this</p></article>"
     rows = [(k, f"http://a.org/x/{k}", art.format(f"Long and different text number {k} " * 4)) for k in range(4)]
