@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from itertools import accumulate
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,7 @@ from .urls import with_host_and_path
 DROPPED, OTHER, MAIN = 0, 1, 2
 BLOCK_PAGES, MAX_BLOCKS, SAMPLE = 400, 2000, 100
 COPY_REST, SHORT_WORDS, LINK_SHARE = 0.1, 12, 0.5
+ROW_BITS = 1 << 26
 
 #: Fixed vocabularies of HTML elements and of class or id words.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
@@ -150,46 +153,65 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
+def _rows(a: list[str], b: list[str]):
+    """Bit vectors by row, from none of a on: bit j of row i is 0 where b[j] lengthens the longest common subsequence with a[:i]."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    v = full = (1 << len(b)) - 1
+    yield v
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of a with each beginning of b."""
+    for v in _rows(a, b):
+        pass
+    return [0, *accumulate(c == "0" for c in reversed(f"{v:0{len(b)}b}"))]
+
+
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Positions in a and in b of a longest common subsequence, in no order.
 
-    By matches and a rising run of positions in b. Lines that both repeat so often that matches would pass a million
-    are matched by their number of occurrence instead.
+    Bit vectors by row, walked back from the end; where they would pass ROW_BITS, a is halved at the best place of b
+    (Hirschberg), which bounds the memory at any size.
     """
-    begin, ea, eb = 0, len(a), len(b)
-    while begin < min(ea, eb) and a[begin] == b[begin]:
-        begin += 1
-    while ea > begin and eb > begin and a[ea - 1] == b[eb - 1]:
-        ea, eb = ea - 1, eb - 1
-    out = [*((k, k) for k in range(begin)), *zip(range(ea, len(a)), range(eb, len(b)), strict=True)]
-    where: dict[str, list[int]] = {}
-    for j in range(begin, eb):
-        where.setdefault(b[j], []).append(j)
-    if sum(len(where.get(a[i], ())) for i in range(begin, ea)) > 1_000_000:
-        seen: dict[str, int] = {}
-        matches = {}
-        for i in range(begin, ea):
-            k = seen[a[i]] = seen.get(a[i], -1) + 1
-            if k < len(where.get(a[i], ())):
-                matches[i] = [where[a[i]][k]]
-    else:
-        matches = {i: where[a[i]] for i in range(begin, ea) if a[i] in where}
-    tails: list[int] = []
-    chain: list[tuple[int, tuple | None]] = []
-    nodes: list[tuple] = []
-    for i in sorted(matches):
-        for j in reversed(matches[i]):
-            k = bisect_left(tails, j)
-            node = (i, j, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        begin, ea, start, eb = parts.pop()
+        while begin < ea and start < eb and a[begin] == b[start]:
+            out.append((begin, start))
+            begin, start = begin + 1, start + 1
+        while ea > begin and eb > start and a[ea - 1] == b[eb - 1]:
+            ea, eb = ea - 1, eb - 1
+            out.append((ea, eb))
+        both = {*a[begin:ea]} & {*b[start:eb]}
+        if not both:
+            continue
+        at_a = [i for i in range(begin, ea) if a[i] in both]
+        at_b = [j for j in range(start, eb) if b[j] in both]
+        x, y = [a[i] for i in at_a], [b[j] for j in at_b]
+        if len(x) > 1 and len(x) * len(y) > ROW_BITS:
+            half = len(x) // 2
+            ends = _lengths(x[half:][::-1], y[::-1])[::-1]
+            both_ways = [*map(add, _lengths(x[:half], y), ends)]
+            cut = both_ways.index(max(both_ways))
+            at = at_b[cut] if cut < len(at_b) else eb
+            parts += [(begin, at_a[half], start, at), (at_a[half], ea, at, eb)]
+            continue
+        rows, i, j = [*_rows(x, y)], len(x), len(y)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
             else:
-                tails[k], nodes[k] = j, node
-    node = nodes[-1] if nodes else None
-    while node:
-        out.append(node[:2])
-        node = node[2]
+                i, j = i - 1, j - 1
+                out.append((at_a[i], at_b[j]))
     return out
 
 

@@ -36,6 +36,18 @@ def test_alignment_is_longest():
     assert len(h.shared_lines(["x"] * 2000, ["x"] * 1000 + ["y"] + ["x"] * 900)) == 1900
 
 
+def test_alignment_is_longest_at_any_size(monkeypatch):
+    """Over a million equal-line matches with one line shifted; and halving against the plain table."""
+    a = [x for k in range(210) for x in (f"label {k}", *["0"] * 5)]
+    assert len(h.shared_lines(a, ["0", *a])) == len(h.shared_lines(["p", *a, "q"], ["0", "r", *a, "s"])) == 1260
+    monkeypatch.setattr(h, "ROW_BITS", 4, raising=False)
+    rnd = random.Random(6)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcde") for _ in range(rnd.randrange(25))] for _ in range(2))
+        hit = sorted(h.aligned(a, b))
+        assert len(hit) == lcs(a, b) and all(a[i] == b[j] for i, j in hit) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(hit, hit[1:]))
+
+
 def test_template_goes_without_structure(spark):
     rows = []
     for k in range(1200):
