@@ -13,11 +13,34 @@ text<br>more &lt;tag&gt; 5 < 6<p>Two.</p><ul><li>item <a href="a>b">link</a><li>
 
 def test_one_page():
     found = h.blocks(PAGE)
-    assert [t for t, z in found if z == h.MAIN] == ["Head é line", "One bold text more <tag> 5 < 6", "Two.", "item link", "second", "End."]
+    assert [t for t, z in found if z >= h.MAIN] == ["Head é line", "One bold text more <tag> 5 < 6", "Two.", "item link", "second", "End."]
     assert not any(z == h.OTHER for _, z in found)
     assert h.blocks(None) == [] and h.blocks("") == [] and h.blocks("<p>open <b>x") == [("open x", h.OTHER)] and h.blocks("<script>x") == []
 
 
+def main_text(page):
+    return [t for t, z in h.blocks(page) if z >= h.MAIN]
+
+
+def test_articles_survive_class_pieces():
+    for page in ('<article class="post has-sidebar"><p>Text.</p></article>', '<main class="no-sidebar">Text.</main>', '<div class="content with-comments">Text.</div>', "<article id=has-menu>Text."):
+        assert main_text(page) == ["Text."]
+    for name in ("comment-list", "post-comments", "sidebar", "site-footer widget", "ad-slot-3", "cookie-notice"):
+        assert main_text(f'<article><p>Text.</p><div class="{name}"><p>Other.</p></div></article>') == ["Text."]
+
+
+def test_broken_markup_is_linear_and_leaves_no_tags():
+    import time
+
+    assert h.blocks("<p>a <a title=\"it\"s'>b</a> c</p>") == [("a b c", h.OTHER)]
+    assert [t for t, _ in h.blocks('<p>1</p><p title="never closed>2</p><p>3</p>')] == ["1", "2", "3"]
+    assert [t for t, _ in h.blocks("<p>1<![CDATA[x]]></p></><p>2 < 3<!-- rest")] == ["1", "2 < 3"]
+    t = time.time()
+    for piece in ('<a title="', "<a title='x", "<!", "<", "= '", "<!--", "<svg>", "&amp;"):
+        h.blocks("<p>" + piece * 200_000 + ">" + piece * 10)
+    assert time.time() - t < 60
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
@@ -59,6 +82,29 @@ def test_template_goes_without_structure(spark):
         assert r.text == "\n".join(f"Story {r.page_id} part {j}, told at some length for page {r.page_id}." for j in range(4)) and r.n_chars == len(r.text)
 
 
+def test_differencing_decides(spark):
+    """Pages whose article element holds a template too, or holds nothing but one; and pages of a class-less layout."""
+    rows, want = [], {}
+    for k in range(60):
+        own = [f"Own sentence {j} of page {k}, told at some length." for j in range(5)]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        if k < 20:  # nested template beside a sentence that all articles quote
+            page = f"<article><div>Read the daily site in the app, it is free.</div>{body}<p>All of them quote this sentence.</p><p>Share this</p></article>"
+            own = [*own, "All of them quote this sentence."]
+        elif k < 40:  # the main element is a template
+            page = f"<main><h1>Welcome to the daily site.</h1></main><div><span>Top stories</span></div>{body}"
+        else:
+            page = f"<div>Daily site</div><div>Sections of all kinds.</div>{body}<div>Imprint</div>"
+        rows.append((k, f"http://h{k // 20}.org/{k:03d}", page))
+        want[k] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(df).collect()}
+    ends = {0, 19, 20, 39, 40, 59}  # pages with one neighbour keep what looks like sentences
+    assert {k: v for k, v in got.items() if k not in ends} == {k: v for k, v in want.items() if k not in ends}
+    alone = {r.page_id: r.text for r in h.extract(df.withColumn("url", h.F.concat(h.F.lit("http://"), h.F.col("page_id"), h.F.lit(".org/")))).collect()}
+    assert sum(alone[k] != got[k] for k in got) >= 54
+
+
 def test_template_larger_than_the_text_goes(spark):
     menu = "".join(f"<div>Department {j} of the daily site</div>" for j in range(14))
     rows = [(k, f"http://h{k % 2}.org/a/{k:05d}", f"<body>{menu}" + "".join(f"<p>Own {k} part {j}, told at some length for the page numbered {k}.</p>" for j in range(4)) + "</body>") for k in range(100)]
@@ -78,6 +124,7 @@ def test_runs_of_copies_reach_beyond_block_edges(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     for size in (10, 100, 10**6):
         monkeypatch.setattr(h, "BLOCK_PAGES", size)
+        monkeypatch.setattr(h, "LEAST_PAGES", size)
         got = {r.page_id: r.text for r in h.extract(df).collect()}
         assert got == want
 
@@ -92,6 +139,17 @@ def test_copies_and_edges(spark):
     assert got[9] == "" and got[None] == "x"
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert h.extract(df.limit(0)).count() == 0
+    clash = df.withColumns({c: h.F.lit("z") for c in ("host", "path", "text", "n_chars", "block", "ghost", "body", "h")})
+    assert {r.page_id: r.text for r in h.extract(clash).collect()} == got
+
+
+def test_very_long_pages(spark):
+    """A page of four million characters, one line of a million, and a neighbour that shares most of it."""
+    long = "".join(f"<p>Line {k} of a very long page.</p>" for k in range(100_000)) + "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "http://l.org/1", f"<article>{long}<p>One.</p></article>"), (2, "http://l.org/2", f"<article><p>Two.</p>{long}</article>")]
+    got = {r.page_id: r.n_chars for r in h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    n = sum(len(f"Line {k} of a very long page.") + 1 for k in range(100_000)) + 999_999
+    assert got == {1: n + 5, 2: n + 5}
 
 
 def test_fixture_pages(spark):
