@@ -7,10 +7,11 @@ costs its padding to WINDOW, nothing if its length is a power of two, plus its c
 tokens. The least cost ending at a candidate is a sliding-window minimum over earlier candidates, kept in a monotone
 queue, so the work is linear in the candidates.
 
-Tokens come from ``encoder``; the default is the byte-level BPE of 50,257 entries, special strings being ordinary text,
-with SEPARATOR after each document. Plain Latin text is encoded with the same vocabulary by tiktoken (four times faster,
+Tokens come from ``encoder``; the default is the byte-level BPE of 50,257 entries as its tokenizer file has it, special
+strings included, with SEPARATOR after each document. Plain Latin text is encoded with the same vocabulary by tiktoken (four times faster,
 equal ids by test), any other text by tokenizers. Null and empty texts are the separator alone. Repeated rows are
-documents of their own, an empty table gives an empty one, extra columns are left out.
+documents of their own, an empty table gives an empty one, extra columns are left out, whatever their names. A very
+long text is cut like any other; one document and a block are in memory at once.
 """
 
 from __future__ import annotations
@@ -51,13 +52,13 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("plain", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-        self.exact.encode_special_tokens = True
-        self.sentence_end = np.zeros(max(ranks.values()) + 2, bool)
+        self.special = [x.content for x in self.exact.get_added_tokens_decoder().values()]
+        self.sentence_end = np.zeros(self.exact.get_vocab_size() + 1, bool)
         for raw, i in ranks.items():
             self.sentence_end[i] = raw.rstrip(b" ").endswith((b".", b"!", b"?")) or b"\n" in raw
 
     def ids(self, text: str) -> np.ndarray:
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or any(x in text for x in self.special):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
 
