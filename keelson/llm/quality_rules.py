@@ -2,16 +2,21 @@
 
 DataFrame functions only. ``text_statistics`` counts over whole texts. ``mcd_verdicts`` turns the counts into a vector
 of transformed statistics and estimates its centre and scatter in each (lang, source) by minimum covariance
-determinant: from two starts (medians with absolute deviations, and the plain moments), concentration steps keep the
-nearer SUPPORT share of the rows and estimate again; the start with the smaller determinant wins. Rows beyond
-CUTOFF in Mahalanobis distance are rejected.
-
+determinant. From two starts (medians with absolute deviations, and the plain moments), concentration steps keep the
+nearer SUPPORT share of the rows and estimate again; after TRIAL steps the start with the smaller determinant goes on,
+until no determinant falls by more than TOLERANCE in logarithm (MAX_STEPS at most). The scatter is corrected for the share
+kept, rows within the REWEIGHT quantile estimate once more, and rows beyond the QUANTILE of the chi-squared
+distribution in squared Mahalanobis distance are rejected.
+
+- Estimates are tables keyed by group, factored in columns and joined with the rows; Spark broadcasts them only below
+  its size threshold. Every group of MIN_GROUP rows has its own, however many groups there are; smaller ones share a
+  pool. A pool of fewer than MIN_POOL rows gives no verdict against anything: its rows pass.
+- Medians and quantiles are read from counts in narrow bins (an eighth of a statistic's floor; 1/BINS_PER_OCTAVE of an octave
+  of squared distance), which add up map-side, so a large group sends a row per bin and task.
 - Scatter gets a floor on its diagonal (FLOORS), so a statistic that is constant in a group isn't divided by zero.
-- Groups under MIN_GROUP rows, and those beyond the MAX_GROUPS largest, share one pooled estimate. Estimates are
-  therefore at most MAX_GROUPS + 1 rows for each start, which bounds what is sent to the driver and broadcast.
-- A pool of fewer than MIN_POOL rows gives no verdict against anything: its rows pass.
 - Null text counts as empty, null lang and source are values of their own, repeated rows are judged each by itself,
-  an empty table gives an empty table, and columns whose names clash with the added ones are replaced.
+  an empty table gives an empty table, very long texts are counted whole, and names of columns to keep that clash with
+  the added ones are refused.
 """
 
 from __future__ import annotations
@@ -19,22 +24,22 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoints
+from .tables import Work
 from .text import UPPER, table, words
 
 SYMBOLS = "#*$%&|<>"
 SPACE_CHARS = " \t\n\x0b\f\r"
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
-MIN_GROUP, MIN_POOL, MAX_GROUPS = 40, 20, 5000
-SUPPORT, STEPS = 0.75, 3
+MIN_GROUP, MIN_POOL = 40, 20
+SUPPORT, TRIAL, MAX_STEPS, TOLERANCE, BINS_PER_OCTAVE = 0.75, 2, 12, 0.02, 32
+#: Chi-squared quantiles. Statistics of real texts have heavier tails than a normal law, so the last one is far out.
+REWEIGHT, QUANTILE = 0.975, 1 - 1e-7
 #: Standard deviations below which a statistic's spread isn't trusted.
 FLOORS = {"word_length": 0.05, "symbols": 0.15, "dup_lines": 0.05, "repeats": 0.05, "capitals": 0.03, "shouts": 0.15, "echoes": 0.05}
-#: Squared distance of rejection; far beyond the chi-squared bulk for seven statistics, as clean rows must stay.
-CUTOFF = 60.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_lines", "n_capitals", "n_shouts", "n_echoes", "base_failed"]
 
@@ -95,30 +100,51 @@ NAMES = list(FLOORS)
 CELLS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
-def cholesky_inverse(cov: list[list[float]]) -> tuple[list[list[float]], float]:
-    """(rows of the inverse Cholesky factor, log determinant) of a positive definite matrix."""
-    n = len(cov)
-    low = [[0.0] * n for _ in range(n)]
-    for i in range(n):
-        for j in range(i + 1):
-            rest = cov[i][j] - sum(low[i][k] * low[j][k] for k in range(j))
-            low[i][j] = math.sqrt(max(rest, 1e-12)) if i == j else rest / low[j][j]
-    inv = [[0.0] * n for _ in range(n)]
-    for i in range(n):
-        inv[i][i] = 1 / low[i][i]
-        for j in range(i):
-            inv[i][j] = -sum(low[i][k] * inv[k][j] for k in range(j, i)) / low[i][i]
-    return inv, 2 * sum(math.log(low[i][i]) for i in range(n))
+def chi_squared_beyond(x: float, k: int) -> float:
+    """Probability above x for an odd number k of degrees of freedom."""
+    q = math.erfc(math.sqrt(x / 2))
+    return q + sum((x / 2) ** (j / 2) * math.exp(-x / 2) / math.gamma(j / 2 + 1) for j in range(1, k, 2))
+
+
+def chi_squared_quantile(share: float, k: int) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_squared_beyond(mid, k) > 1 - share else (lo, mid)
+    return hi
+
+
+def consistency(share: float, k: int) -> float:
+    """By how much the scatter of the nearest share of normal rows falls short of the whole."""
+    return share / (1 - chi_squared_beyond(chi_squared_quantile(share, k), k + 2))
+
 
+CUTOFF = chi_squared_quantile(QUANTILE, len(NAMES))
 
-def _floored(cov: list[list[float]]) -> list[list[float]]:
-    return [[c + (FLOORS[NAMES[i]] ** 2 if i == j else 0) for j, c in enumerate(row)] for i, row in enumerate(cov)]
 
+def factored(moments: DataFrame, scale: float = 1.0) -> DataFrame:
+    """grp, start, centre _c, inverse Cholesky factor _l (flat lower triangle) and log determinant of m0.. and c0_0..."""
+    df, p = moments, range(len(NAMES))
 
-def _table(spark: SparkSession, fits: dict) -> DataFrame:
-    """(grp, start, centre, inverse factor as flat lower triangle) as a local relation."""
-    rows = [(g, s, c, [inv[i][j] for i, j in CELLS]) for (g, s), (c, inv, _) in fits.items()]
-    return spark.createDataFrame(rows, "grp bigint, start int, _c array<double>, _l array<double>")
+    def col(name, i, j):
+        return F.col(f"{name}{i}_{j}")
+
+    def less(first: Column, terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a - b, terms, first)
+
+    def cov(i, j):
+        c = F.coalesce(col("c", i, j), F.lit(0.0)) * scale
+        return c + FLOORS[NAMES[i]] ** 2 if i == j else c
+
+    for j in p:
+        df = df.withColumn(f"L{j}_{j}", F.sqrt(F.greatest(less(cov(j, j), [col("L", j, k) * col("L", j, k) for k in range(j)]), F.lit(1e-12))))
+        if j + 1 < len(NAMES):
+            df = df.withColumns({f"L{i}_{j}": less(cov(i, j), [col("L", i, k) * col("L", j, k) for k in range(j)]) / col("L", j, j) for i in p if i > j})
+    for i in p:
+        row = {f"I{i}_{j}": less(F.lit(0.0), [col("L", i, k) * col("I", k, j) for k in range(j, i)]) / col("L", i, i) for j in range(i)}
+        df = df.withColumns(row | {f"I{i}_{i}": 1 / col("L", i, i)})
+    det = reduce(lambda a, b: a + b, [2 * F.log(col("L", i, i)) for i in p])
+    return df.select("grp", "start", F.array(*[F.col(f"m{i}") for i in p]).alias("_c"), F.array(*[col("I", i, j) for i, j in CELLS]).alias("_l"), det.alias("det"))
 
 
 def _squared_distance() -> Column:
@@ -130,72 +156,81 @@ def _squared_distance() -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _moments(rows: DataFrame) -> dict:
-    aggs = [F.count("*").alias("n")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)] + [F.covar_samp(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in CELLS]
-    out = {}
-    for r in rows.groupBy("grp", "start").agg(*aggs).collect():
-        if r["n"] >= 2:
-            cov = [[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(NAMES))] for i in range(len(NAMES))]
-            inv, det = cholesky_inverse(_floored(cov))
-            out[r["grp"], r["start"]] = ([r[f"m{i}"] for i in range(len(NAMES))], inv, det)
-    return out
-
-
-def _median_start(vectors: DataFrame, spark: SparkSession) -> dict:
-    """Centres by medians, scatter by absolute deviations."""
-    med = {r.grp: [r[f"m{i}"] for i in range(len(NAMES))] for r in vectors.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(NAMES)]).collect()}
-    mid = spark.createDataFrame(list(med.items()), "grp bigint, _m array<double>")
-    off = vectors.join(F.broadcast(mid), "grp")
-    out = {}
-    for r in off.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.get("_m", F.lit(i))), 0.5).alias(f"d{i}") for i, x in enumerate(NAMES)]).collect():
-        cov = [[(1.4826 * r[f"d{i}"]) ** 2 if i == j else 0.0 for j in range(len(NAMES))] for i in range(len(NAMES))]
-        out[r.grp, 0] = (med[r.grp], *cholesky_inverse(_floored(cov)))
-    return out
-
-
-def fit_mcd(vectors: DataFrame) -> dict:
-    """Per group, the (centre, inverse factor, log determinant) of the best start. vectors: grp and NAMES."""
-    spark = vectors.sparkSession
-    fits = _median_start(vectors, spark) | _moments(vectors.withColumn("start", F.lit(1)))
-    for _ in range(STEPS):
-        if not fits:
+def _moments(rows: DataFrame) -> DataFrame:
+    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)] + [F.covar_samp(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in CELLS]
+    return rows.groupBy("grp", "start").agg(*aggs)
+
+
+def _quantile_bin(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """keys and the first bin up to which at least that share of the key's rows (keys, bin) lie."""
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(*keys, "bin", (upto >= share * F.sum("n").over(w)).alias("_in")).filter("_in").groupBy(*keys).agg(F.min("bin").alias("bound"))
+
+
+def _medians(vectors: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """grp and the medians m0.. of the statistics, or of their absolute deviations from `about` (grp, m0..)."""
+    values = vectors if about is None else vectors.join(about, "grp")
+    cells = []
+    for i, x in enumerate(NAMES):
+        value = F.col(x) if about is None else F.abs(F.col(x) - F.col(f"m{i}"))
+        cells.append(F.struct(F.lit(i).alias("i"), F.floor(value / (FLOORS[x] / 8)).alias("bin")))
+    found = _quantile_bin(values.select("grp", F.explode(F.array(*cells)).alias("x")).select("grp", "x.i", "x.bin"), ["grp", "i"], 0.5)
+    return found.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, (F.col("bound") + 0.5) * (FLOORS[x] / 8))).alias(f"m{i}") for i, x in enumerate(NAMES)])
+
+
+def fit_mcd(vectors: DataFrame, work: Work) -> DataFrame:
+    """Per group, the corrected estimate (factored). vectors: grp and NAMES, saved."""
+    middle = work.save(_medians(vectors), "medians")
+    spread = _medians(vectors, middle).select("grp", *[F.col(f"m{i}").alias(f"d{i}") for i in range(len(NAMES))])
+    robust = middle.join(spread, "grp").withColumns({f"c{i}_{j}": (1.4826 * F.col(f"d{i}")) ** 2 if i == j else F.lit(0.0) for i, j in CELLS})
+    fits = work.save(factored(robust.withColumn("start", F.lit(0))).unionByName(factored(_moments(vectors.withColumn("start", F.lit(1))))), "fits")
+
+    def near(fits: DataFrame) -> DataFrame:
+        d = vectors.join(fits.select("grp", "start", "_c", "_l"), "grp").withColumn("_d", _squared_distance()).drop("_c", "_l")
+        return d.withColumn("bin", F.floor(F.log2(F.col("_d") + 1e-9) * BINS_PER_OCTAVE))
+
+    for step in range(MAX_STEPS):
+        bounds = work.save(_quantile_bin(near(fits).select("grp", "start", "bin"), ["grp", "start"], SUPPORT), f"bounds-{step}")
+        inside = near(fits).join(bounds, ["grp", "start"]).filter("bin <= bound")
+        new = work.save(factored(_moments(inside)), f"fits-{step}")
+        old = fits.select("grp", "start", F.col("det").alias("_old"))
+        fall = new.join(old, ["grp", "start"]).agg(F.max(F.col("_old") - F.col("det"))).first()[0]
+        fits = new
+        if step + 1 == TRIAL:
+            best = F.min_by(F.struct("start", "_c", "_l", "det"), F.struct("det", "start")).alias("x")
+            fits = work.save(fits.groupBy("grp").agg(best).select("grp", "x.*"), "best")
+        if step + 1 >= TRIAL and (fall is None or fall <= TOLERANCE):
             break
-        near = vectors.join(F.broadcast(_table(spark, fits)), "grp").withColumn("_d", _squared_distance())
-        bound = near.groupBy("grp", "start").agg(F.percentile_approx("_d", SUPPORT, 1000).alias("_b")).collect()
-        bounds = spark.createDataFrame([tuple(b) for b in bound], "grp bigint, start int, _b double")
-        fits |= _moments(near.join(F.broadcast(bounds), ["grp", "start"]).filter("_d <= _b"))
-    best: dict = {}
-    for (g, s), fit in sorted(fits.items()):
-        if (g, 0) not in best or fit[2] < best[g, 0][2]:
-            best[g, 0] = fit
-    return best
-
-
-def mcd_verdicts(stats: DataFrame) -> DataFrame:
+    p = len(NAMES)
+    inside = near(fits).filter(F.col("_d") <= consistency(SUPPORT, p) * chi_squared_quantile(REWEIGHT, p))
+    return work.save(factored(_moments(inside), consistency(REWEIGHT, p)), "final")
+
+
+def mcd_verdicts(stats: DataFrame, work: Work) -> DataFrame:
     """Adds distance (null without an estimate) and outlier. stats come from text_statistics and are read several times."""
-    spark = stats.sparkSession
-    pair = ["lang", "source"]
-    sizes = stats.groupBy(*pair).agg(F.count("*").alias("n"))
-    big = sizes.filter(F.col("n") >= MIN_GROUP).orderBy(F.col("n").desc(), *pair).limit(MAX_GROUPS).collect()
-    known = spark.createDataFrame([(r.lang, r.source, i) for i, r in enumerate(big, 1)], "_lang string, _source string, _g bigint")
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    v = stats.drop("grp", "distance", "outlier").join(F.broadcast(known), same, "left").withColumns(vector() | {"grp": F.coalesce("_g", F.lit(0))}).drop("_lang", "_source", "_g")
-    fits = fit_mcd(v.select("grp", *NAMES))
-    if (0, 0) in fits and v.filter("grp = 0").limit(MIN_POOL).count() < MIN_POOL:
-        del fits[0, 0]
-    out = v.join(F.broadcast(_table(spark, fits).drop("start")), "grp", "left").withColumn("distance", _squared_distance())
+    own = F.to_json(F.struct("lang", "source"))
+    stats = stats.drop("grp", "distance", "outlier").withColumns(vector() | {"_own": own})
+    sizes = stats.groupBy("_own").agg(F.count("*").alias("n"))
+    known = work.save(sizes.filter(F.col("n") >= MIN_GROUP).select("_own", F.col("_own").alias("grp")), "groups")
+    v = work.save(stats.join(known, "_own", "left").withColumn("grp", F.coalesce("grp", F.lit(""))).drop("_own"), "vectors")
+    pool = v.filter("grp = ''").limit(MIN_POOL).count() >= MIN_POOL
+    fits = fit_mcd(v.select("grp", *NAMES) if pool else v.filter("grp <> ''").select("grp", *NAMES), work)
+    out = v.join(fits.select("grp", "_c", "_l"), "grp", "left").withColumn("distance", _squared_distance())
     return out.withColumn("outlier", F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).drop("grp", "_c", "_l", *NAMES)
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns of docs, the base counts, base_failed, distance and kept."""
-    use_checkpoints(docs.sparkSession)
     docs = docs.withColumns({c: F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")})
     cols = list(dict.fromkeys([*keep, "lang", "source"]))
     if clash := {*cols} & {*COUNTS}:
         raise ValueError(f"columns to keep have names of added ones: {sorted(clash)}")
     stats = text_statistics(docs.select(*dict.fromkeys([*cols, "text"]))).select(*cols, *COUNTS)
-    v = mcd_verdicts(stats.checkpoint())
+    work = Work(docs.sparkSession, "rules")
+    v = mcd_verdicts(work.save(stats, "counts"), work)
+    work.drop("counts")
     return v.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")).select(*keep, *BASE, "base_failed", "distance", "kept")
 
 
