@@ -22,7 +22,6 @@ distribution in squared Mahalanobis distance are rejected.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,42 +122,39 @@ CUTOFF = chi_squared_quantile(QUANTILE, len(NAMES))
 
 
 def factored(moments: DataFrame, scale: float = 1.0) -> DataFrame:
-    """grp, start, centre _c, inverse Cholesky factor _l (flat lower triangle) and log determinant of m0.. and c0_0..."""
-    df, p = moments, range(len(NAMES))
+    """grp, start, centre _c, inverse Cholesky factor _l (flat lower triangle) and log determinant of m0.. and c0_0...
 
-    def col(name, i, j):
-        return F.col(f"{name}{i}_{j}")
+    One level of columns after the other, as SQL text: it is analysed once."""
+    p = range(len(NAMES))
 
-    def less(first: Column, terms: list[Column]) -> Column:
-        return reduce(lambda a, b: a - b, terms, first)
+    def less(first: str, terms: list[str]) -> str:
+        return " - ".join([first, *terms])
 
     def cov(i, j):
-        c = F.coalesce(col("c", i, j), F.lit(0.0)) * scale
-        return c + FLOORS[NAMES[i]] ** 2 if i == j else c
+        return f"coalesce(c{i}_{j}, 0D) * {scale!r}D" + (f" + {FLOORS[NAMES[i]] ** 2!r}D" if i == j else "")
 
+    levels = []
     for j in p:
-        df = df.withColumn(f"L{j}_{j}", F.sqrt(F.greatest(less(cov(j, j), [col("L", j, k) * col("L", j, k) for k in range(j)]), F.lit(1e-12))))
-        if j + 1 < len(NAMES):
-            df = df.withColumns({f"L{i}_{j}": less(cov(i, j), [col("L", i, k) * col("L", j, k) for k in range(j)]) / col("L", j, j) for i in p if i > j})
+        levels.append([f"sqrt(greatest({less(cov(j, j), [f'L{j}_{k} * L{j}_{k}' for k in range(j)])}, 1e-12D)) as L{j}_{j}"])
+        levels.append([f"({less(cov(i, j), [f'L{i}_{k} * L{j}_{k}' for k in range(j)])}) / L{j}_{j} as L{i}_{j}" for i in p if i > j])
     for i in p:
-        row = {f"I{i}_{j}": less(F.lit(0.0), [col("L", i, k) * col("I", k, j) for k in range(j, i)]) / col("L", i, i) for j in range(i)}
-        df = df.withColumns(row | {f"I{i}_{i}": 1 / col("L", i, i)})
-    det = reduce(lambda a, b: a + b, [2 * F.log(col("L", i, i)) for i in p])
-    return df.select("grp", "start", F.array(*[F.col(f"m{i}") for i in p]).alias("_c"), F.array(*[col("I", i, j) for i, j in CELLS]).alias("_l"), det.alias("det"))
+        levels.append([f"({less('0D', [f'L{i}_{k} * I{k}_{j}' for k in range(j, i)])}) / L{i}_{i} as I{i}_{j}" for j in range(i)] + [f"1 / L{i}_{i} as I{i}_{i}"])
+    source = "{moments}"
+    for level in filter(None, levels):
+        source = f"(select *, {', '.join(level)} from {source})"
+    centre, inverse = ", ".join(f"m{i}" for i in p), ", ".join(f"I{i}_{j}" for i, j in CELLS)
+    det = " + ".join(f"2 * ln(L{i}_{i})" for i in p)
+    return moments.sparkSession.sql(f"select grp, start, array({centre}) as _c, array({inverse}) as _l, {det} as det from {source}", moments=moments)
 
 
 def _squared_distance() -> Column:
-    parts = []
-    for i in range(len(NAMES)):
-        terms = [(F.col(NAMES[j]) - F.get("_c", F.lit(j))) * F.get("_l", F.lit(CELLS.index((i, j)))) for j in range(i + 1)]
-        z = reduce(lambda a, b: a + b, terms)
-        parts.append(z * z)
-    return reduce(lambda a, b: a + b, parts)
+    rows = [" + ".join(f"({NAMES[j]} - get(_c, {j})) * get(_l, {CELLS.index((i, j))})" for j in range(i + 1)) for i in range(len(NAMES))]
+    return F.aggregate(F.expr(f"array({', '.join(rows)})"), F.lit(0.0), lambda a, z: a + z * z)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)] + [F.covar_samp(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in CELLS]
-    return rows.groupBy("grp", "start").agg(*aggs)
+    aggs = [f"avg({x}) as m{i}" for i, x in enumerate(NAMES)] + [f"covar_samp({NAMES[i]}, {NAMES[j]}) as c{i}_{j}" for i, j in CELLS]
+    return rows.groupBy("grp", "start").agg(*map(F.expr, aggs))
 
 
 def _quantile_bin(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -184,7 +180,7 @@ def fit_mcd(vectors: DataFrame, work: Work) -> DataFrame:
     """Per group, the corrected estimate (factored). vectors: grp and NAMES, saved."""
     middle = work.save(_medians(vectors), "medians")
     spread = _medians(vectors, middle).select("grp", *[F.col(f"m{i}").alias(f"d{i}") for i in range(len(NAMES))])
-    robust = middle.join(spread, "grp").withColumns({f"c{i}_{j}": (1.4826 * F.col(f"d{i}")) ** 2 if i == j else F.lit(0.0) for i, j in CELLS})
+    robust = middle.join(spread, "grp").selectExpr("*", *[f"power(1.4826 * d{i}, 2) as c{i}_{j}" if i == j else f"0D as c{i}_{j}" for i, j in CELLS])
     fits = work.save(factored(robust.withColumn("start", F.lit(0))).unionByName(factored(_moments(vectors.withColumn("start", F.lit(1))))), "fits")
 
     def near(fits: DataFrame) -> DataFrame:

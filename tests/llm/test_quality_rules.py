@@ -114,10 +114,10 @@ def test_distances_match_brute_force(spark):
 
 
 def test_many_groups_have_their_own_estimates(spark):
-    """Six hundred sources, half of which are written in capitals: no source is judged by another's habits."""
+    """Sixty sources, half of which are written in capitals: no source is judged by another's habits."""
     rnd = random.Random(5)
     rows = []
-    for s in range(300):
+    for s in range(60):
         for k in range(42):
             w = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(rnd.randrange(12, 40))]
             text = " ".join(w) + (" ### $$$" * len(w) if k == 0 else "")
