@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sources in code-point order (null last) have weights 3, 1, 2, repeating, and share TOTAL times all words; a target
-stops at MAX_REPEAT times its source's words and its excess is shared again. Each source is dealt into shards by a
-seeded hash of doc_id, and a shard's documents, in the order of that hash, form a stream cut into blocks of BLOCK
-words. Highest quotients give each source, then each of its shards, an integer number of blocks; a shard takes whole
-passes first, then the blocks that a seeded permutation of the block numbers selects. Only counts per source and shard
-(at most MAX_SHARDS a source) reach the driver, and every decision is a function of the seed, so reruns agree.
-
-Null text has no words; such documents, and sources without words, take nothing. Repeated rows each have their own
-place, an empty table gives an empty one, and clashing columns named as the added ones are replaced.
+stops at MAX_REPEAT times its source's words and its excess is shared again. Each source is dealt into shards of about
+SHARD_DOCS documents by a seeded hash of doc_id and text, and a shard's documents, in the order of that hash, form a
+stream cut into blocks of BLOCK words. Highest quotients give each source, then each of its shards, an integer number of
+blocks; a shard takes whole passes first, then the blocks that a seeded permutation of the block numbers selects.
+
+All decisions are made on narrow rows, and every one is a function of the seed, the id and the text, so reruns agree.
+A row per source meets in one task and a row per shard in one task per source; both tables are saved and joined,
+and Spark broadcasts them only below its size threshold. Nothing of them reaches the driver.
+
+Null text has no words; such documents, and sources without words, take nothing. Null ids are dealt by their texts.
+Repeated rows each have their own place in the stream, an empty table gives an empty one, a very long text is cut at its
+blocks like any other, and columns named as the added ones are replaced; any other names may clash.
 """
 
 from __future__ import annotations
@@ -19,16 +23,19 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoints
+from .tables import Work
 from .text import table, words
 
 WEIGHTS = (3, 1, 2)
 TOTAL, MAX_REPEAT = 1.5, 2
 BLOCK, SEED = 64, 20
-SHARD_DOCS, MAX_SHARDS = 2000, 1024
+SHARD_DOCS = 2000
+SOURCES = "k int, source string, words bigint, target double, quota bigint, shards bigint"
+SHARDS = "k int, shard bigint, passes bigint, chosen bigint, blocks bigint, step bigint, shift bigint"
+ADDED = ["size", "source_size", "target", "taken", "passes", "chosen", "blocks", "step", "shift", "begin"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -83,32 +90,36 @@ def plan_shard(n_words: int, quota: int, seed: int) -> tuple[int, int, int, int,
     return passes, chosen, blocks, step, seed * 7919 % blocks
 
 
-def mix(docs: DataFrame, save: bool = True) -> DataFrame:
-    """docs with text replaced by size, source_size, target, taken and the columns of its selection.
-
-    The counts are saved once; without save (for wide rows) the texts are counted again in each of three passes.
-    """
-    spark = docs.sparkSession
-    use_checkpoints(spark)
-    keep = [c for c in docs.columns if c not in ("text", "size", "source_size", "target", "taken", "passes", "chosen", "blocks", "step", "shift", "begin")]
-    d = docs.select(*keep, F.size(words(F.coalesce("text", F.lit("")))).cast("bigint").alias("size"), F.xxhash64(F.lit(SEED), "doc_id").alias("_h"))
-    d = d.checkpoint() if save else d
-    by_source = d.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("w")).collect()
-    by_source.sort(key=lambda r: (r.source is None, r.source or ""))
-    goals = targets([r.w for r in by_source])
-    n_shards = [min(MAX_SHARDS, -(-r.n // SHARD_DOCS)) for r in by_source]
-    sources = spark.createDataFrame([(r.source, k, r.w, g, s) for k, (r, g, s) in enumerate(zip(by_source, goals, n_shards, strict=True))], "_source string, _k int, source_size bigint, target double, _s bigint")
-    d = d.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod(F.shiftright("_h", 20), F.col("_s")))
-    by_shard = sorted(d.groupBy("_k", "_shard").agg(F.sum("size").alias("w")).collect())
-    quotas = apportion(goals, round(sum(goals) / BLOCK))
-    rows = []
-    for k in range(len(by_source)):
-        own = [r for r in by_shard if r._k == k]
-        for r, q in zip(own, apportion([r.w for r in own], quotas[k]), strict=True):
-            rows.append((k, r._shard, *plan_shard(r.w, q, SEED + k + r._shard)))
-    plan = spark.createDataFrame(rows, "_k int, _shard bigint, passes bigint, chosen bigint, blocks bigint, step bigint, shift bigint")
-    w = Window.partitionBy("_k", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(plan), ["_k", "_shard"]).withColumn("begin", F.sum("size").over(w) - F.col("size"))
+def plan_sources(t: pd.DataFrame) -> pd.DataFrame:
+    """SOURCES of (source, words, shards)."""
+    t = t.assign(source=t["source"].where(t["source"].notna(), None))
+    t = t.iloc[sorted(range(len(t)), key=lambda i: (t["source"].iloc[i] is None, t["source"].iloc[i] or ""))]
+    goals = targets(t["words"].tolist())
+    return pd.DataFrame({"k": range(len(t)), "source": t["source"].tolist(), "words": t["words"].tolist(), "target": goals, "quota": apportion(goals, round(sum(goals) / BLOCK)), "shards": t["shards"].tolist()})
+
+
+def plan_shards(t: pd.DataFrame) -> pd.DataFrame:
+    """SHARDS of one source's (k, quota, shard, words)."""
+    t = t.sort_values("shard")
+    quotas = apportion(t["words"].tolist(), int(t["quota"].iloc[0]))
+    rows = [(k, shard, *plan_shard(w, q, SEED + k + shard)) for k, shard, w, q in zip(t["k"].tolist(), t["shard"].tolist(), t["words"].tolist(), quotas, strict=True)]
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in SHARDS.split(", ")])
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text and more) with text replaced by size, source_size, target, taken and the columns of its selection."""
+    work = Work(docs.sparkSession, "mix")
+    keep = [c for c in docs.columns if c not in ("text", *ADDED)]
+    size = F.size(words(F.coalesce("text", F.lit("")))).cast("bigint").alias("size")
+    d = work.save(docs.select(F.struct(*keep).alias("row"), "doc_id", "source", size, F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h")), "sizes")
+    by_source = d.groupBy("source").agg(F.sum("size").alias("words"), F.ceil(F.count("*") / SHARD_DOCS).alias("shards"))
+    sources = work.save(by_source.groupBy().applyInPandas(plan_sources, SOURCES), "sources")
+    named = sources.withColumnRenamed("source", "_source")
+    d = d.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.shiftright("h", 20), F.col("shards")))
+    by_shard = d.groupBy("k", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    plan = work.save(by_shard.groupBy("k").applyInPandas(plan_shards, SHARDS), "shards")
+    w = Window.partitionBy("k", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(plan, ["k", "shard"]).withColumn("begin", F.sum("size").over(w) - F.col("size"))
     end = F.col("begin") + F.col("size")
     numbers = F.when((F.col("chosen") > 0) & (F.col("size") > 0), F.sequence(F.expr(f"begin div {BLOCK}"), F.expr(f"(begin + size - 1) div {BLOCK}"))).otherwise(F.array().cast("array<bigint>"))
 
@@ -117,7 +128,7 @@ def mix(docs: DataFrame, save: bool = True) -> DataFrame:
         return n + F.when(hit, F.least(end, (b + 1) * BLOCK) - F.greatest(F.col("begin"), b * BLOCK)).otherwise(F.lit(0).cast("bigint"))
 
     taken = F.col("passes") * F.col("size") + F.aggregate(numbers, F.lit(0).cast("bigint"), part)
-    return d.withColumn("taken", taken).select(*keep, "size", "source_size", "target", "taken", "passes", "chosen", "blocks", "step", "shift", "begin")
+    return d.withColumns({"taken": taken, "source_size": F.col("words")}).select("row.*", *ADDED)
 
 
 def selected_text(text: str, begin: int, chosen: int, blocks: int, step: int, shift: int) -> str:
@@ -134,25 +145,37 @@ def selected_text(text: str, begin: int, chosen: int, blocks: int, step: int, sh
     return "\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs)
 
 
+def row_name(docs: DataFrame) -> Column:
+    """128 bits of a row's values; equal rows have equal names."""
+    return F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(SEED), *docs.columns).alias("b"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: a row per whole pass, and one with the selected blocks if there are any."""
+    """The mix itself, with the columns of docs: a row per whole pass, and one with the selected blocks if there are any.
+
+    Decisions are made on names of rows; texts are shuffled once, to meet theirs. Equal rows share a text there.
+    """
     if "source" not in docs.columns:
         docs = docs.withColumn("source", F.lit(None).cast("string"))
-    cols = docs.columns
-    m = mix(docs.select(F.struct(*cols).alias("_row"), "doc_id", "source", "text"), save=False)
+    cols, name = docs.columns, row_name(docs)
+    work = Work(docs.sparkSession, "mixed")
+    taken = mix(docs.select(name.alias("name"), "doc_id", "source", "text")).filter("taken > 0").drop("doc_id", "source")
+    m = work.save(taken, "taken").join(docs.select(name.alias("name"), F.struct(*cols).alias("row")).groupBy("name").agg(F.first("row").alias("row")), "name")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, begin: pd.Series, chosen: pd.Series, blocks: pd.Series, step: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([selected_text(t or "", *map(int, x)) for t, *x in zip(text, begin, chosen, blocks, step, shift, strict=True)], dtype=object)
-
-    own = [F.col("_row")[c].alias(c) for c in cols]
-    partial = m.filter(F.col("taken") > F.col("passes") * F.col("size")).select(*own, cut(F.col("_row.text"), "begin", "chosen", "blocks", "step", "shift").alias("_cut"))
-    changed = {"text": F.col("_cut")}
+        return pd.Series([selected_text(t, *map(int, x)) if t else "" for t, *x in zip(text, begin, chosen, blocks, step, shift, strict=True)], dtype=object)
+
+    partly = F.col("taken") > F.col("passes") * F.col("size")
+    m = m.withColumn("cut", cut(F.when(partly, F.col("row.text")), "begin", "chosen", "blocks", "step", "shift"))
+    copies = F.sequence(F.when(partly, 0).otherwise(1).cast("bigint"), "passes")
+    copies = F.when(partly | (F.col("passes") > 0), copies).otherwise(F.array().cast("array<bigint>"))
+    m = m.withColumn("copy", F.explode(copies))
+    text = F.when(F.col("copy") == 0, F.col("cut")).otherwise(F.col("row.text"))
+    out = {c: F.col("row")[c] for c in cols} | {"text": text}
     if "n_chars" in cols:
-        changed["n_chars"] = F.length("_cut").cast(docs.schema["n_chars"].dataType)
-    copies = F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("bigint"), "passes")).otherwise(F.array().cast("array<bigint>"))
-    whole = m.filter(F.col("size") > 0).select("_row", F.explode(copies).alias("_copy")).select(*own)
-    return whole.unionByName(partial.withColumns(changed).select(*cols))
+        out["n_chars"] = F.when(F.col("copy") == 0, F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return m.select(*[out[c].alias(c) for c in cols])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

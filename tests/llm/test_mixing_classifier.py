@@ -48,6 +48,7 @@ def test_mix_of_documents(spark):
 def test_mixed_texts_hold_the_words_taken(spark):
     rows = [(i, " ".join(f"w{i}_{k}" for k in range(n)) if n else None, s, "x") for i, (n, s) in enumerate([(500, "a"), (0, "a"), (90, None), (90, None), (7, ""), (1000, "b"), (3, "b")])]
     df = spark.createDataFrame([*rows, rows[2]], "doc_id bigint, text string, source string, size string")
+    df = df.withColumns({c: F.lit("z") for c in ("name", "row", "k", "h", "shard", "words", "cut", "copy", "_source")})
     taken, got = {}, {}
     for r in mixing.mix(df).collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
@@ -58,6 +59,38 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def brute_taken(rows):
+    """taken of (doc_id, text, source, hash) rows, word by word."""
+    size = {k: len(mixing.WORD.findall(r[1] or "")) for k, r in enumerate(rows)}
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    goals = mixing.targets([sum(size[k] for k, r in enumerate(rows) if r[2] == s) for s in names])
+    quotas, out = mixing.apportion(goals, round(sum(goals) / mixing.BLOCK)), {}
+    for k, s in enumerate(names):
+        own = sorted((r[3], r[0] or -1, size[i], i) for i, r in enumerate(rows) if r[2] == s)
+        n = -(-len(own) // mixing.SHARD_DOCS)
+        streams = [[(i, z) for h, _, z, i in own if (h >> 20) % n == x] for x in range(n)]
+        full = [x for x in range(n) if streams[x]]
+        for x, q in zip(full, mixing.apportion([sum(z for _, z in streams[x]) for x in full], quotas[k]), strict=True):
+            words = [i for i, z in streams[x] for _ in range(z)]
+            passes, chosen, blocks, step, shift = mixing.plan_shard(len(words), q, mixing.SEED + k + x)
+            for i, z in streams[x]:
+                out[i] = passes * z
+            for at, i in enumerate(words):
+                out[i] += (at // mixing.BLOCK * step + shift) % blocks < chosen
+    return [out[k] for k in range(len(rows))]
+
+
+def test_taken_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 9)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([i, i, i, None, 7]), rnd.choice([None, "", "a\tb"] + [" ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(300)))] * 9), rnd.choice(["a", "a", "a", "b", "ä", "", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    hashed = [tuple(r) for r in df.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).collect()]
+    want = sorted(((r[0], len(mixing.WORD.findall(r[1] or "")), n) for r, n in zip(hashed, brute_taken(hashed), strict=True)), key=str)
+    got = sorted(((r.doc_id, r["size"], r.taken) for r in mixing.mix(df).collect()), key=str)
+    assert got == want and sum(x[2] for x in got) > 0
+
+
 def test_classifier_on_held_out_rows(spark):
     got = classifier.op10_quality_classifier(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     rows = got.filter("held_out").collect()

@@ -29,3 +29,61 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in rows[4]) == sum(len(enc.ids(r.text)) + 1 for r in rows[3])
     final = cp.run(spark, DATA)
     assert final.columns == packing.COLUMNS and final.count() > 0
+
+
+ODD = [
+    (1, "a b c d e f g h", "en", "s", 15),
+    (1, "a b c d e f g h", "en", "s", 15),
+    (1, "one two three four five six seven", "en", "s", 33),
+    (None, "a b c d e f g h", None, None, 15),
+    (None, "p q r s t u v", None, None, 13),
+    (2, None, "en", "s", None),
+    (3, "", "de", None, 0),
+    (4, "x " * 60_000, "en", "s", 120_000),
+]
+CLASHES = ["name", "row", "nth", "copy", "cut", "grp", "x", "score", "n_words", "kept", "h", "_t"]
+
+
+def odd(spark, rows=ODD):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return df.withColumns({c: F.lit(c) for c in CLASHES})
+
+
+def test_near_dedup_keeps_rows_not_ids(spark):
+    got = cp.by_near_dedup(spark, odd(spark), DATA)
+    assert got.columns == odd(spark).columns
+    assert sorted(((r.doc_id, (r.text or "")[:9], r.name) for r in got.collect()), key=str) == sorted([(1, "a b c d e", "name"), (1, "one two t", "name"), (None, "p q r s t", "name"), (2, "", "name"), (3, "", "name"), (4, "x x x x x", "name")], key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    for rows in (ODD, []):
+        for name, f in cp.STAGES:
+            got = f(spark, odd(spark, rows), DATA)
+            assert name == "packing" or got.columns == odd(spark).columns
+            out = got.collect()
+            if not rows:
+                assert not out
+            elif name == "source_mixing":
+                assert {r.text for r in out} & {r[1] for r in ODD} and all(r.cut == "cut" for r in out)
+            elif name == "packing":
+                assert len({r.document for r in out}) == len(ODD) == len({(r.document, r.doc_id) for r in out})
+
+
+def test_mixing_names_rows(spark):
+    """Rows of one id keep their own texts, and words taken are those of the operator."""
+    from keelson.llm import mixing
+
+    rows = [(k % 3 or None, " ".join(f"w{k}x{j}" for j in range(40 + 30 * k)), "en", "ab"[k % 2], k) for k in range(12)]
+    docs = odd(spark, [*rows, rows[0]])
+    got = {}
+    for r in cp.by_mixing(spark, docs, DATA).collect():
+        words = r.text.split()
+        assert len({w.split("x")[0] for w in words}) == 1
+        got[words[0].split("x")[0]] = got.get(words[0].split("x")[0], 0) + len(words)
+    want = {}
+    for r in mixing.mix(docs.withColumn("first", docs.text.substr(1, 3))).collect():
+        k = r.first.split("x")[0]
+        want[k] = want.get(k, 0) + r.taken
+    assert got == {k: v for k, v in want.items() if v}
