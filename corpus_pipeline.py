@@ -1,8 +1,10 @@
 """Corpus pipeline: quality classifier, quality rules, near-dedup, source mixing, packing.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept. The filtering
-stages decide on narrow tables and take the rows by a join, so texts are shuffled once and never saved in between.
-Rows are named by their id and a hash of all that a verdict depends on, so repeated rows share their verdict.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept. All stages
+decide on narrow tables and take the rows by a join, so texts are shuffled once and never saved in between.
+Rows are named by a hash of their values, so a verdict belongs to a row and not to an id: equal rows share theirs, rows
+of one id with unlike texts have one each, and null ids are no group. Empty tables stay empty; extra columns are
+carried, whatever their names; null and very long texts are judged like any other.
 """
 
 from __future__ import annotations
@@ -16,35 +18,44 @@ from keelson.llm import classifier, mixing, near_dedup, packing, quality_rules
 from keelson.llm.text import table
 from keelson.session import use_checkpoints
 
+#: Columns that a stage reads; a table without one of them has nulls there.
+READ = ["doc_id", "text", "lang", "source"]
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_name", F.xxhash64("doc_id", "text", "lang", "source"))
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """name and the columns READ. Values of other columns take part in the name."""
+    missing = [F.lit(None).cast("bigint" if c == "doc_id" else "string").alias(c) for c in READ if c not in docs.columns]
+    return docs.select(F.xxhash64(*docs.columns).alias("name"), *[c for c in READ if c in docs.columns], *missing)
 
-def _take(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return _named(docs).join(kept.select("_name").distinct(), "_name", "left_semi").select(*docs.columns)
+
+def _take(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
+    """The rows whose name is among kept (name); of equal rows all, or one."""
+    rows = docs.select(F.xxhash64(*docs.columns).alias("name"), F.struct(*docs.columns).alias("row")).join(kept.select("name").distinct(), "name", "left_semi")
+    if once:
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("name"))).filter("nth = 1")
+    return rows.select("row.*")
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
-    d = _named(docs).select("doc_id", "text", "_name")
-    judged = classifier.classify(d, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    judged = classifier.classify(_narrow(docs).select("name", "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return _take(docs, judged.filter("predicted = 1"))
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the outlier test."""
-    judged = quality_rules.judge(_named(docs), ["doc_id", "_name"])
+    judged = quality_rules.judge(_narrow(docs), ["name"])
     return _take(docs, judged.filter("kept"))
 
 
 def by_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id; of rows that share it, one."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    id_ = F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint"))
-    one = docs.withColumn("_id", id_).join(kept.select(id_.alias("_id")), "_id", "left_semi")
-    w = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    return one.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """One document of each group of near copies: the one of the smallest id (null last), then of the smallest name. Of
+    equal rows one stays; documents without words, which link with nothing, all stay."""
+    rows = _narrow(docs)
+    groups = near_dedup.near_duplicates(rows.select(F.col("name").alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), F.col("component_id").alias("group")).distinct()
+    named = groups.join(rows.select("name", "doc_id").distinct(), "name")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "name")).alias("first")
+    return _take(docs, named.groupBy("group").agg(first).select("first.name"), once=True)
 
 
 def by_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +64,7 @@ def by_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces; the number in document tells repeats of a doc_id apart."""
     return packing.pack(docs)
 
 
