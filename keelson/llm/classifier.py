@@ -2,13 +2,15 @@
 
 ``features`` turns whole texts into a vector of statistics (DataFrame functions). Fitting standardises it over the
 training rows, maps it to DIM random cosine features of a Gaussian kernel, sums the normal equations per partition and
-solves them with a ridge. Raw scores of the training rows, in BINS equal bins, are then made monotone by pooling
-adjacent violators, which gives the calibrated score.
-
-At most MAX_TRAIN labelled rows, the lowest by a hash of doc_id, are used for fitting; every document is scored.
-Only the text is an input of a score. Null text is empty; labels that are null, or whose document is missing, are left
-out; without training rows every score is 0.5. Repeated rows are scored each, an empty table gives an empty one, and
-clashing columns named score or predicted are replaced.
+fold and solves them with a ridge. For calibration each training row gets its raw score from the equations without its own
+fold of FOLDS; these scores, in BINS equal bins, are made monotone by pooling adjacent violators. All folds together
+give the final weights.
+
+The labels of at most MAX_TRAIN documents, the lowest by a hash of doc_id, are used for fitting; every document is
+scored. Only the text is an input of a score. Null text is empty; labels that are null, or whose document is missing, are
+left out, and rows that share a labelled doc_id all count; without training rows every score is 0.5. Repeated rows are
+scored each, very long texts whole, an empty table gives an empty one, and clashing columns named score or predicted are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoints
 from . import quality_rules as rules
+from .tables import Work
 from .text import table, words
 
 DIM, RIDGE, BINS, SEED = 192, 1e-3, 512, 7
-MAX_TRAIN = 200_000
+MAX_TRAIN, FOLDS = 200_000, 3
 CLIP = 6.0
 
 
@@ -87,7 +89,7 @@ def _stack(x: pd.Series) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model | None:
-    """train: x and y (0 or 1). Read three times."""
+    """train: x, y (0 or 1) and fold (0 to FOLDS - 1). Read three times."""
     p = len((train.select("x").first() or [[]])[0])
     if not p:
         return None
@@ -97,28 +99,34 @@ def fit(train: DataFrame) -> Model | None:
     model = Model(mean, scale, rng.normal(size=(p, DIM)) / np.sqrt(p), rng.uniform(0, 2 * np.pi, DIM), np.zeros(DIM + 1), np.zeros(1), np.zeros(1))
 
     def normal(batches):
-        a = np.zeros((DIM + 1, DIM + 2))
+        a = np.zeros((FOLDS, DIM + 1, DIM + 2))
         for b in batches:
-            z = model.lift(_stack(b["x"]))
-            a[:, :-1] += z.T @ z
-            a[:, -1] += z.T @ b["y"].to_numpy(float)
-        yield pd.DataFrame({"i": range(DIM + 1), "a": list(a)})
+            z, y, fold = model.lift(_stack(b["x"])), b["y"].to_numpy(float), b["fold"].to_numpy()
+            for f in range(FOLDS):
+                own = z[fold == f]
+                a[f, :, :-1] += own.T @ own
+                a[f, :, -1] += own.T @ y[fold == f]
+        yield pd.DataFrame({"i": np.tile(range(DIM + 1), FOLDS), "fold": np.repeat(range(FOLDS), DIM + 1), "a": list(a.reshape(-1, DIM + 2))})
 
     def total(b):
-        return pd.DataFrame({"i": b["i"][:1], "a": [np.sum(_stack(b["a"]), axis=0)]})
+        return pd.DataFrame({"i": b["i"][:1], "fold": b["fold"][:1], "a": [np.sum(_stack(b["a"]), axis=0)]})
+
+    kind = "i int, fold int, a array<double>"
+    rows = train.select("x", "y", "fold").mapInPandas(normal, kind).groupBy("i", "fold").applyInPandas(total, kind).collect()
+    a = np.array([r.a for r in sorted(rows, key=lambda r: (r.fold, r.i))]).reshape(FOLDS, DIM + 1, DIM + 2)
+
+    def solved(a: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(a[:, :-1] + RIDGE * max(a[-1, -2], 1.0) * np.eye(DIM + 1), a[:, -1])
 
-    kind = "i int, a array<double>"
-    rows = train.select("x", "y").mapInPandas(normal, kind).groupBy("i").applyInPandas(total, kind).collect()
-    a = np.array([r.a for r in sorted(rows, key=lambda r: r.i)])
-    gram, right = a[:, :-1], a[:, -1]
-    model.weights = np.linalg.solve(gram + RIDGE * max(gram[-1, -1], 1.0) * np.eye(DIM + 1), right)
+    model.weights = solved(a.sum(axis=0))
+    without = np.array([solved(a.sum(axis=0) - a[f]) for f in range(FOLDS)])
 
     def bins(batches):
         for b in batches:
-            raw = model.raw(_stack(b["x"]))
+            raw = (model.lift(_stack(b["x"])) * without[b["fold"].to_numpy()]).sum(axis=1)
             yield pd.DataFrame({"k": np.clip(((raw + 0.5) / 2.0 * BINS).astype(int), 0, BINS - 1), "raw": raw, "y": b["y"].astype(float)})
 
-    binned = train.select("x", "y").mapInPandas(bins, "k int, raw double, y double").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("raw").alias("raw")).orderBy("k").collect()
+    binned = train.select("x", "y", "fold").mapInPandas(bins, "k int, raw double, y double").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("raw").alias("raw")).orderBy("k").collect()
     model.knots = np.array([r.raw for r in binned])
     model.values = pool_adjacent(np.array([r.y for r in binned]), np.array([r.n for r in binned]))
     return model
@@ -147,14 +155,12 @@ def held_out(doc_id: str = "doc_id"):
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) with score and predicted instead of text; labels: doc_id, quality."""
-    use_checkpoints(docs.sparkSession)
-    feats = features(docs).checkpoint()
+    work = Work(docs.sparkSession, "classifier")
+    feats = work.save(features(docs), "features")
     usable = labels.filter(F.col("quality").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
-    n = usable.count()
-    if n > MAX_TRAIN:
-        cut = F.percentile_approx(F.xxhash64("doc_id"), MAX_TRAIN / n)
-        usable = usable.filter(F.xxhash64("doc_id") <= usable.agg(cut).first()[0])
-    train = feats.select("doc_id", "x").join(usable, "doc_id").select("x", "y").checkpoint()
+    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_TRAIN)
+    fold = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = work.save(feats.select("doc_id", "x").join(usable, "doc_id").select("x", "y", fold), "train")
     return score(feats, fit(train))
 
 

@@ -106,6 +106,29 @@ def test_classifier_edges(spark):
     assert classifier.classify(docs, some).count() == 5 and classifier.classify(docs.limit(0), some).count() == 0
 
 
+def test_fit_against_plain_numpy(spark):
+    """Weights by least squares over all rows, and calibration scores by models without the row's fold."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(300, 4))
+    y = (x[:, 0] + 0.5 * rnd.normal(size=300) > 0).astype(int)
+    fold = rnd.integers(0, classifier.FOLDS, 300)
+    rows = [(list(map(float, a)), int(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)]
+    m = classifier.fit(spark.createDataFrame(rows, "x array<double>, y int, fold int"))
+    z = m.lift(x)
+
+    def ridge(z, y):
+        n = np.sqrt(classifier.RIDGE * len(z))
+        return np.linalg.lstsq(np.vstack([z, n * np.eye(z.shape[1])]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+
+    assert np.allclose(m.weights, ridge(z, y), atol=1e-6)
+    raw = np.array([z[i] @ ridge(z[fold != f], y[fold != f]) for i, f in enumerate(fold)])
+    bins = np.clip(((raw + 0.5) / 2 * classifier.BINS).astype(int), 0, classifier.BINS - 1)
+    assert np.allclose(m.knots, [raw[bins == k].mean() for k in np.unique(bins)], atol=1e-6)
+    assert np.allclose(m.values, classifier.pool_adjacent(np.array([y[bins == k].sum() for k in np.unique(bins)]), np.array([(bins == k).sum() for k in np.unique(bins)])))
+    scores = m.score(x)
+    assert np.all(np.diff(scores[np.argsort(m.raw(x))]) >= 0) and 0.7 < np.mean((scores >= 0.5) == y)
+
+
 def test_pool_adjacent():
     out = classifier.pool_adjacent(np.array([0.0, 2, 1, 3, 3]), np.array([3.0, 3, 3, 3, 3]))
     assert np.all(np.diff(out) >= 0) and np.allclose(out, [0, 0.5, 0.5, 1, 1])
