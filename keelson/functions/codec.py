@@ -24,6 +24,15 @@ class PackedStruct:
         self.dtype = np.dtype([(n, KINDS[k][0]) for n, k in self.fields])
         self.ddl = ", ".join(f"`{n}` {KINDS[k][1]}" for n, k in self.fields)
 
+    def pack(self, *values) -> bytes:
+        """One record's bytes."""
+        return np.array([tuple(values)], self.dtype).tobytes()
+
+    def unpack(self, raw: bytes) -> tuple:
+        if len(raw) < self.dtype.itemsize:
+            raise ValueError(f"payload shorter than the {self.dtype.itemsize} bytes of the struct")
+        return np.frombuffer(raw[: self.dtype.itemsize], self.dtype)[0].item()
+
     def encode(self, *cols: Column) -> Column:
         dtype, names = self.dtype, [n for n, _ in self.fields]
 

@@ -69,7 +69,9 @@ def kv_get_string(s, d):
 
 
 def kv_export(s, d):
-    return V.export(kv_versions(s, d), ["key"], "props").select("key", "props", F.octet_length("props").alias("len"))
+    """Payloads of low values are empty; such rows live but aren't exported."""
+    v = kv_versions(s, d).withColumn("props", F.when(F.col("value") < 100, "").otherwise(F.col("props")))
+    return V.export(v, ["key"], "props").select("key", "props", F.octet_length("props").alias("len"))
 
 
 def kv_orders_live(s, d):
@@ -101,7 +103,9 @@ def log_slots(s, d):
 
 
 def log_latest(s, d):
-    return V.log_latest(log_versions(s, d)).select("id", "slot", "value")
+    """Error events are tombstones: an id whose newest version is one has no value."""
+    v = log_versions(s, d).withColumn("tombstone", F.col("event_type") == "error")
+    return V.log_latest(v).select("id", "slot", "value")
 
 
 def log_latest_live(s, d):
@@ -142,7 +146,7 @@ def log_delete_then_append(s, d):
     n = v.filter("id = 7").agg(F.count("*").alias("c"))
     more = n.select(F.lit(7).alias("id"), (F.col("c") % RING).cast("int").alias("slot"), (F.col("c") + 2000000).alias("seq"), F.lit(False).alias("tombstone"))
     v = v.unionByName(V.log_delete(v, 7, 1000000)).select("id", "slot", "seq", "tombstone")
-    return V.latest_live(v.unionByName(more).filter("id in (6, 7)"), V.RING).select("id", "slot", "seq")
+    return V.latest_live(v.unionByName(more), V.RING).select("id", "slot", "seq")
 
 
 def log_retention(s, d):
@@ -184,7 +188,8 @@ def vkey_pack(s, d):
 
 
 def write_guards(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    """Keys on both sides of the bounds, payloads of repeated texts on both sides of the limit."""
+    docs = table(s, d, "documents").select((3 * F.col("doc_id") - 30).alias("key"), F.repeat("text", F.lit(40)).alias("text"))
     return V.guard_kv(docs, FLASH.kv_keys, "text", FLASH.payload_limit).select("key", "status")
 
 
@@ -226,14 +231,14 @@ ORACLES: dict[str, str] = {
     "kv_get": f"select key, seq, value from {KV_LIVE.format(where='where key = 42')}",
     "kv_multi_get": f"select key, seq, value from {KV_LIVE.format(where='where key in (1, 7, 42, 511)')}",
     "kv_get_string": "select doc_id as key, case when octet_length(encode(text)) + 1 <= 128 then text else '' end as value from documents",
-    "kv_export": f"select key, props, cast(octet_length(encode(props)) as int) as len from {KV_LIVE.format(where='')} where octet_length(encode(props)) > 0",
+    "kv_export": f"select key, props, cast(octet_length(encode(props)) as int) as len from (select key, case when value < 100 then '' else props end as props from {KV_LIVE.format(where='')}) where octet_length(encode(props)) > 0",
     "kv_orders_live": f"select key, max(seq) as seq, arg_max_null(o_totalprice, seq) as o_totalprice, arg_max_null(o_orderpriority, seq) as o_orderpriority from {ORD_SQL} group by key having not arg_max_null(tombstone, seq)",
     "kv_total_versions": f"select count(*) as n_versions from {KV_SQL} where not tombstone",
     "kv_live_count": f"select count(*) as n_live from {KV_LIVE.format(where='')}",
     "kv_delete": f"select key, value from {KV_LIVE.format(where='')} where key % 3 <> 0",
     "kv_empty_put": f"select key, arg_max_null(payload, seq) as payload from (select key, seq, tombstone, case when value < 100 then '' else props end as payload from {KV_SQL}) group by key having not arg_max_null(tombstone, seq) and octet_length(encode(arg_max_null(payload, seq))) > 0",
     "log_slots": f"select id, seq, slot from {LOG_SQL}",
-    "log_latest": f"select id, arg_max_null(slot, seq) as slot, arg_max_null(value, seq) as value from {LOG_SQL} group by id",
+    "log_latest": f"select id, arg_max_null(slot, seq) as slot, arg_max_null(value, seq) as value from {LOG_SQL} group by id having arg_max_null(event_type, seq) <> 'error'",
     "log_latest_live": f"select id, arg_max_null(slot, seq) as slot, max(seq) as seq, arg_max_null(value, seq) as value from (select id, slot, max(seq) as seq, arg_max_null(value, seq) as value from {LOG_SQL} group by id, slot having arg_max_null(event_type, seq) <> 'error') group by id",
     "log_get_slot": f"select id, slot, seq, value from {PICK_LOG} where id = 7 and slot = 3",
     "log_range": f"select id, slot, seq, value from {PICK_LOG} where slot between 8 and 24",
@@ -241,7 +246,7 @@ ORACLES: dict[str, str] = {
     "log_range_inverted": f"select id, slot from {PICK_LOG} where slot between 24 and 8",
     "log_total": f"select id, count(*) as total from {PICK_LOG} group by id",
     "log_delete": f"select id, count(*) as total from {PICK_LOG} where id <> 7 group by id",
-    "log_delete_then_append": f"select id, slot, seq from {PICK_LOG} where id = 6 union all select 7, cast(count(*) % 32 as int), count(*) + 2000000 from {LOG_SQL} where id = 7",
+    "log_delete_then_append": f"select id, slot, seq from {PICK_LOG} where id <> 7 union all select 7, cast(count(*) % 32 as int), count(*) + 2000000 from {LOG_SQL} where id = 7",
     "log_retention": f"select id, slot, seq, value from {PICK_LOG} qualify row_number() over (partition by id order by seq desc) <= 16",
     "evict_oldest": f"select key, ts, value from {KV_LIVE.format(where='')} order by ts, key limit 20",
     "compact_equivalence": f"select key, max(seq) as seq, arg_max_null(tombstone, seq) as tombstone, arg_max_null(value, seq) as value from {KV_SQL} group by key",
@@ -250,7 +255,7 @@ ORACLES: dict[str, str] = {
     "level_audit": f"select ns, lvl, count(distinct file_id) as n_files, count(*) as n_entries, cast(sum(tombstone::int) as bigint) as n_tombstones, cast(sum(bytes) as bigint) as n_bytes from ({_AUDIT}) group by rollup (ns, lvl)",
     "storage_gauges": f"select cast(1000000 as bigint) as total, u as used, cast(1000000 - u as bigint) as free, u >= 900000 as nearly_full from (select cast(sum(bytes) as bigint) as u from ({_AUDIT}))",
     "vkey_pack": f"select {OFFSET} + id * 2048 + slot as vkey, id, slot, id as id_back, slot as slot_back from (select distinct id, slot from {LOG_SQL})",
-    "write_guards": "select doc_id as key, case when doc_id < 0 or doc_id >= 2048 then 'bad_key' when octet_length(encode(text)) > 65535 then 'bad_size' else 'ok' end as status from documents",
+    "write_guards": "select 3 * doc_id - 30 as key, case when 3 * doc_id < 30 or 3 * doc_id >= 2078 then 'bad_key' when octet_length(encode(text)) * 40 > 65535 then 'bad_size' else 'ok' end as status from documents",
     "log_guards": "select case when user_id < 64 then 'ok' else 'bad_id' end as status, count(*) as n from events group by 1",
     "namespace_split": f"select count(*) filter (where vkey >= {OFFSET}) as n_log, count(*) filter (where vkey < {OFFSET}) as n_kv from (select cast(key as bigint) as vkey from {KV_SQL} union all select {OFFSET} + id * 2048 + slot from {LOG_SQL})",
     "kv_wire_frames": f"select key, {LE2.format(x='key')} || {LE2.format(x='octet_length(encode(props))')} || hex(encode(props)) as frame from {KV_LIVE.format(where='')}",

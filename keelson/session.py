@@ -20,8 +20,11 @@ def session(app: str = "keelson", cores: str | int = "*", shuffle: int = 8, **co
 
 
 def work_dir(spark: SparkSession, default: str = "/tmp/keelson-work") -> str:
-    """Folder that all executors share: spark.checkpoint.dir of the session, else a default for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or default
+    """Folder that all executors share: spark.checkpoint.dir of the session. Only a local master does without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or default
 
 
 def use_checkpoints(spark: SparkSession) -> str:

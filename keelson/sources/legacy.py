@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -105,5 +106,7 @@ class _WalReader(DataSourceReader):
         return [InputPartition(p) for p in self.path.split(",")]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
+        where = partition.value
+        fs, at = pafs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (pafs.LocalFileSystem(), where)
+        with fs.open_input_stream(at) as f:
             yield from wal_records(f.read(), self.key_width)

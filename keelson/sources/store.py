@@ -13,17 +13,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.codec import PackedStruct
 from ..operators import versions as V
-from ..profiles import ENGINE_VERSION, FLASH, Profile
+from ..profiles import ENGINE_VERSION, FLASH, Profile, compaction_level, memtable_limit
+from . import legacy
 
 ENVELOPE = "ns string, id bigint, slot int, seq bigint, ts bigint, tombstone boolean, payload binary"
 COLUMNS = ["ns", "id", "slot", "seq", "ts", "tombstone", "payload"]
-EMPTY = {"version": 0, "folders": [], "state": None, "next_seq": 1}
+#: live is an upper bound of the live rows: rows written since it was last counted are added to it.
+EMPTY = {"version": 0, "folders": [], "state": None, "next_seq": 1, "live": 0}
 
 
 class Store:
@@ -66,8 +68,8 @@ class Store:
         m = self.manifest()
         n = m["version"] + 1
         rows.select(*COLUMNS).sortWithinPartitions("ns", "id", "slot").write.mode("overwrite").parquet(f"{self.root}/delta-{n}")
-        top = self.spark.read.parquet(f"{self.root}/delta-{n}").agg(F.max("seq")).first()[0]
-        m |= {"version": n, "folders": [*m["folders"], f"delta-{n}"], "next_seq": max(m["next_seq"], (top or 0) + 1)}
+        top, puts = self.spark.read.parquet(f"{self.root}/delta-{n}").agg(F.max("seq"), F.count_if(~F.col("tombstone"))).first()
+        m |= {"version": n, "folders": [*m["folders"], f"delta-{n}"], "next_seq": max(m["next_seq"], (top or 0) + 1), "live": m["live"] + puts}
         if state is not None:
             state.write.mode("overwrite").parquet(f"{self.root}/state-{n}")
             m["state"] = f"state-{n}"
@@ -86,6 +88,20 @@ class Store:
         self.publish(m)
         return m
 
+    def live(self, least: int) -> int:
+        """Live rows; only an upper bound where that is below `least`, so that a store with room isn't scanned."""
+        m = self.manifest()
+        if m["live"] < least:
+            return m["live"]
+        n = V.live_count(self.read(m), ["ns", "id", "slot"]).first()[0]
+        if n != m["live"]:
+            self.publish(m | {"version": m["version"] + 1, "live": n})
+        return n
+
+    def used(self) -> int:
+        """Bytes of the live folders."""
+        return sum(int(self._fs.getContentSummary(self._path(f"{self.root}/{f}")).getLength()) for f in self.manifest()["folders"])
+
     def vacuum(self) -> None:
         """Delete folders and manifests that the newest manifest doesn't name. Run it when no reader holds an older snapshot."""
         m = self.manifest()
@@ -112,12 +128,17 @@ class Store:
 
 
 class Engine:
-    """Key-value and ring-log calls over a Store. Opening it twice is harmless; it has no background task."""
+    """Key-value and ring-log calls over a Store. Opening it twice is harmless; it has no background task.
+
+    storage_bytes is the room for files: beyond nine tenths of it the store counts as full. With auto, every bulk or
+    point write is followed by tick().
+    """
 
     version = ENGINE_VERSION
 
-    def __init__(self, spark: SparkSession, root: str, profile: Profile = FLASH, clock=None):
+    def __init__(self, spark: SparkSession, root: str, profile: Profile = FLASH, clock=None, storage_bytes: int | None = None, auto: bool = False):
         self.spark, self.profile, self.store = spark, profile, Store(spark, root)
+        self.storage_bytes, self.auto = storage_bytes, auto
         self._clock = clock or (lambda seq: seq)
 
     # writes
@@ -126,6 +147,7 @@ class Engine:
         seq = self.store.manifest()["next_seq"]
         row = (ns, key, slot, seq, self._clock(seq), tombstone or not payload, bytearray(payload or b""))
         self.store.append(self.spark.createDataFrame([row], ENVELOPE).coalesce(1), state)
+        self._written()
 
     def put(self, key: int, payload: bytes) -> bool:
         """False when the key or size is out of bounds, or the store is full and the policy is to reject. No bytes: a delete."""
@@ -145,26 +167,106 @@ class Engine:
         self._row("kv", key, None, None, True)
         return True
 
+    def put_struct(self, key: int, codec: PackedStruct, *values) -> bool:
+        return self.put(key, codec.pack(*values))
+
     def write_batch(self, kv: DataFrame) -> DataFrame:
-        """Append (key, seq, ts, tombstone, payload) in bulk and return the rejects with their status. seq counts within the batch."""
+        """Append (key, seq, ts, tombstone, payload) in bulk and return the rejects with their status: bad_key, bad_size or
+        full. seq counts within the batch. At the capacity the policy holds as for single writes, in the order of seq: evict
+        tombstones the oldest live rows beyond it; reject takes no put once the store is full."""
         base = self.store.manifest()["next_seq"]
-        checked = V.guard_kv(kv, self.profile.kv_keys, "payload", self.profile.payload_limit)
-        good = V.empty_is_tombstone(checked.filter("status = 'ok'"), "payload")
-        self.store.append(good.select(F.lit("kv").alias("ns"), F.col("key").cast("bigint").alias("id"), F.lit(None).cast("int").alias("slot"), (F.col("seq") + base).alias("seq"), "ts", "tombstone", "payload"))
-        return checked.filter("status <> 'ok'")
+        checked = V.guard_kv(kv.withColumn("tombstone", F.coalesce("tombstone", F.lit(False))), self.profile.kv_keys, "payload", self.profile.payload_limit)
+        rows = V.empty_is_tombstone(checked, "payload").select("*", F.lit("kv").alias("ns"), F.col("key").cast("bigint").alias("id"), F.lit(None).cast("int").alias("slot"))
+        ok = F.col("status") == "ok"
+        last = self._last_fitting(rows.filter(ok))
+        status = F.when(ok & ~F.col("tombstone") & (F.col("seq") > last), "full").otherwise(F.col("status"))
+        rows = rows.withColumn("status", status if last is not None else F.col("status"))
+        self.store.append(rows.filter(ok).withColumn("seq", F.col("seq") + base))
+        self._written()
+        return rows.filter(F.col("status") != "ok").select(*kv.columns, "status")
 
     def write_logs(self, appends: DataFrame) -> DataFrame:
-        """Append (id, seq, ts, payload) in bulk: slots go on from each id's stored count. Returns the rejects."""
+        """Append (id, seq, ts, payload) in bulk: slots go on from each id's stored count. Returns the rejects: ids that are
+        null or out of bounds, payloads over the limit, and what a full store takes no more (see write_batch). A null or
+        empty payload is a tombstone in its slot."""
         m, p = self.store.manifest(), self.profile
-        bad = (F.col("id") < 0) | (F.col("id") >= p.log_ids) | (F.octet_length("payload") > p.payload_limit)
+        outside = F.col("id").isNull() | (F.col("id") < 0) | (F.col("id") >= p.log_ids)
+        bad = outside | (F.coalesce(F.octet_length("payload"), F.lit(0)) > p.payload_limit)
         counts = self.store.counts(m)
         rows = V.assign_slots(appends.filter(~bad), p.slots, ["seq"], counts and counts.withColumnRenamed("n", "n_before"))
-        state = rows.groupBy("id").agg((F.max("n") + 1).alias("n"))
+        rows = V.empty_is_tombstone(rows.withColumn("tombstone", F.lit(False)), "payload").withColumns({"ns": F.lit("log"), "id": F.col("id").cast("bigint")})
+        last = self._last_fitting(rows)
+        over = F.lit(False) if last is None else F.col("seq") > last
+        state = appends.filter(~bad & ~over).groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count("*").alias("n"))
+        if counts is not None:
+            state = counts.withColumn("id", F.col("id").cast("bigint")).unionByName(state).groupBy("id").agg(F.sum("n").alias("n"))
+        self.store.append(rows.filter(~over).withColumn("seq", F.col("seq") + m["next_seq"]), state)
+        self._written()
+        return appends.filter(bad | over)
+
+    def _last_fitting(self, rows: DataFrame) -> int | None:
+        """Under the reject policy, the seq after which a batch (ns, id, slot, seq, tombstone) finds the store full; None if it fits."""
+        if self.profile.on_full != "reject":
+            return None
+        if self._nearly_full():
+            return -(2**62)
+        most, keys = self.profile.max_entries, ["ns", "id", "slot"]
+        room = most - self.store.live(most - rows.count())
+        have = V.latest_live(self.store.read(), keys).select("ns", "id", F.coalesce("slot", F.lit(-1)).alias("slot"))
+        first = rows.filter(~F.col("tombstone")).groupBy("ns", "id", F.coalesce("slot", F.lit(-1)).alias("slot")).agg(F.min("seq").alias("seq"))
+        fit = first.join(have, keys, "left_anti").orderBy("seq").limit(max(room, 0) + 1).agg(F.count("*").alias("n"), F.max("seq").alias("seq")).first()
+        if room <= 0:
+            return -(2**62)
+        return fit.seq - 1 if fit.n > room else None
+
+    def _written(self) -> None:
+        """After a write: evict what is beyond the capacity, and let the scheduler work if it is automatic."""
+        if self.profile.on_full == "evict":
+            over = self.store.live(self.profile.max_entries + 1) - self.profile.max_entries
+            if over > 0:
+                self.evict(over)
+        if self.auto:
+            self.tick()
+
+    def _nearly_full(self) -> bool:
+        return self.storage_bytes is not None and self.store.used() >= self.storage_bytes * 9 // 10
+
+    def tick(self) -> int | None:
+        """One turn of the scheduler: the level that the file counts ask to merge, after merging it, or None."""
+        folders = self.store.manifest()["folders"]
+        deltas = sum(f.startswith("delta-") for f in folders)
+        level = compaction_level([deltas, len(folders) - deltas, 0])
+        if level is not None:
+            self.compact()
+        return level
+
+    def bytes_per_trigger(self, mem_bytes: int, heap_share: float) -> int:
+        """Adaptive write-buffer limit, for maxBytesPerTrigger of a stream that feeds this store."""
+        deltas = sum(f.startswith("delta-") for f in self.store.manifest()["folders"])
+        return memtable_limit(mem_bytes, self.profile.cache_bytes, heap_share, deltas)
+
+    def import_sst(self, path: str) -> None:
+        """Load the sorted-table files of a folder, key-value and log ones: newer time stamps win, then later files."""
+        kv, log = legacy.read_sst(self.spark, path), legacy.read_sst(self.spark, path, logs=True)
+        self._import(kv.unionByName(log).withColumn("at", F.struct("ts", "path", "n")))
+
+    def import_wal(self, path: str, key_width: int = 2) -> None:
+        """Replay write-ahead logs, files in the order of their names, up to the first broken frame of each."""
+        wal = legacy.read_wal(self.spark, path, key_width)
+        self._import(wal.withColumnRenamed("key", "vkey").withColumns({"ts": F.lit(0).cast("bigint"), "at": F.struct("path", "n")}))
+
+    def _import(self, rows: DataFrame) -> None:
+        """Rows (vkey, ts, tombstone, payload, at) in the order of at. Counts of log ids go on after their highest slot."""
+        m, p = self.store.manifest(), self.profile
+        log = K.is_log(F.col("vkey"), p)
+        rows = V.empty_is_tombstone(rows, "payload").withColumns({"seq": F.row_number().over(Window.orderBy("at")) + m["next_seq"] - 1, "ns": F.when(log, "log").otherwise("kv")})
+        rows = rows.withColumns({"slot": F.when(log, K.unpack_slot(F.col("vkey"), p)), "id": F.when(log, K.unpack_id(F.col("vkey"), p)).otherwise(F.col("vkey")).cast("bigint"), "seq": F.col("seq").cast("bigint")})
+        state = rows.filter("ns = 'log'").groupBy("id").agg((F.max("slot") + 1).cast("bigint").alias("n"))
+        counts = self.store.counts(m)
         if counts is not None:
-            state = counts.unionByName(state).groupBy("id").agg(F.max("n").alias("n"))
-        rows = V.empty_is_tombstone(rows.withColumn("tombstone", F.lit(False)), "payload")
-        self.store.append(rows.select(F.lit("log").alias("ns"), F.col("id").cast("bigint").alias("id"), "slot", (F.col("seq") + m["next_seq"]).alias("seq"), "ts", "tombstone", "payload"), state)
-        return appends.filter(bad)
+            state = counts.withColumn("id", F.col("id").cast("bigint")).unionByName(state).groupBy("id").agg(F.max("n").alias("n"))
+        self.store.append(rows, state)
+        self._written()
 
     def put_log(self, log_id: int, payload: bytes) -> bool:
         if not 0 <= log_id < self.profile.log_ids or len(payload) > self.profile.payload_limit or not self._room():
@@ -173,6 +275,13 @@ class Engine:
         self.write_logs(self.spark.createDataFrame([(log_id, 0, self._clock(seq), bytearray(payload))], "id bigint, seq bigint, ts bigint, payload binary"))
         return True
 
+    def put_log_struct(self, log_id: int, codec: PackedStruct, *values) -> bool:
+        return self.put_log(log_id, codec.pack(*values))
+
+    def get_log_struct(self, log_id: int, codec: PackedStruct, slot: int | None = None) -> tuple | None:
+        raw = self.get_log(log_id, slot)
+        return codec.unpack(raw) if raw is not None else None
+
     def delete_log(self, log_id: int) -> bool:
         """Tombstone every live slot; true when nothing lives. The id's append count goes on."""
         if not 0 <= log_id < self.profile.log_ids:
@@ -200,7 +309,7 @@ class Engine:
         return victims
 
     def _room(self) -> bool:
-        if V.live_count(self.store.read(), ["ns", "id", "slot"]).first()[0] < self.profile.max_entries:
+        if self.store.live(self.profile.max_entries) < self.profile.max_entries and not self._nearly_full():
             return True
         if self.profile.on_full == "reject":
             return False
@@ -220,15 +329,15 @@ class Engine:
         return bytes(row.payload) if row else None
 
     def get_struct(self, key: int, codec: PackedStruct) -> tuple | None:
-        row = V.get(self.kv(), key).select(codec.decode(F.col("payload")).alias("v")).first()
-        return tuple(row.v) if row else None
+        raw = self.get(key)
+        return codec.unpack(raw) if raw is not None else None
 
     def get_string(self, key: int) -> str:
         """Empty when absent or longer than the cap."""
         raw = self.get(key)
         if raw is None or len(raw) > self.profile.string_cap:
             return ""
-        return raw.rstrip(b"\0").decode()
+        return raw.removesuffix(b"\0").decode()
 
     def get_log(self, log_id: int, slot: int | None = None) -> bytes | None:
         hit = V.log_latest(self.logs().filter(F.col("id") == log_id)) if slot is None else V.log_slot(self.logs(), log_id, slot, self.profile.slots)
@@ -253,6 +362,26 @@ class Engine:
         v = self.store.read().withColumns({"file_id": F.input_file_name(), "bytes": F.octet_length("payload") + 13})
         return V.level_audit(v.withColumn("lvl", F.when(F.col("file_id").contains("/base-"), 1).otherwise(0)))
 
+    def audit_files(self) -> DataFrame:
+        """Per file: namespace, level, entries, tombstones, payload bytes and the range of ids."""
+        v = self.store.read().withColumns({"file": F.input_file_name(), "bytes": F.octet_length("payload") + 13})
+        v = v.withColumn("lvl", F.when(F.col("file").contains("/base-"), 1).otherwise(0))
+        return v.groupBy("file", "ns", "lvl").agg(F.count("*").alias("n_entries"), F.sum(F.col("tombstone").cast("bigint")).alias("n_tombstones"), F.sum("bytes").alias("n_bytes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+    def export_stream(self, path: str, logs: bool = False) -> int:
+        """All live frames as one byte stream in one file, in key order; gives its length. Rows pass through the driver one
+        partition at a time, as a single stream asks for."""
+        frames = self.export_logs().orderBy("id", "slot") if logs else self.export_kv().orderBy("key")
+        fs, to = self.store._fs, self.store._path(path)
+        out, n = fs.create(to, True), 0
+        try:
+            for r in frames.select("frame").toLocalIterator():
+                out.write(bytearray(r.frame))
+                n += len(r.frame)
+        finally:
+            out.close()
+        return n
+
     def gauges(self, capacity: int) -> DataFrame:
         return V.gauges(self.store.files(), capacity)
 

@@ -20,7 +20,7 @@ class RingWriter(StatefulProcessor):
         self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows, timer_values):
-        seqs = pd.concat(list(rows))["seq"].sort_values(ignore_index=True)
+        seqs = pd.concat([r["seq"] for r in rows]).sort_values(ignore_index=True)
         n = self.count.get()[0] if self.count.exists() else 0
         ns = pd.Series(range(n, n + len(seqs)), dtype="int64")
         self.count.update((n + len(seqs),))

@@ -96,6 +96,89 @@ def test_write_batch_rejects(spark, tmp_path):
     assert [r.status for r in e.write_batch(rows).collect()] == ["bad_key"] and e.get(3) is None and e.get(4) is None
 
 
+def test_bulk_logs_lose_no_row(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    rows = spark.createDataFrame([(7, 1, 1, bytearray(b"a")), (7, 2, 2, None), (None, 3, 3, bytearray(b"c")), (64, 4, 4, bytearray(b"d")), (8, 5, 5, bytearray(b"x" * 65536))], "id bigint, seq bigint, ts bigint, payload binary")
+    assert sorted(r.seq for r in e.write_logs(rows).collect()) == [3, 4, 5]
+    assert e.logs().count() == 2 and e.total_log(7) == 1 and e.get_log(7) is None and e.get_log(7, 0) == b"a"
+    assert e.write_logs(rows.limit(1)).count() == 0 and e.get_log(7, 2) == b"a"
+
+
+def test_bulk_capacity(spark, tmp_path):
+    from dataclasses import replace
+
+    kv = spark.createDataFrame([(k, k, k, False, bytearray(b"v")) for k in range(5)] + [(0, 9, 9, False, bytearray(b"w")), (1, 10, 10, True, None)], "key bigint, seq bigint, ts bigint, tombstone boolean, payload binary")
+    e = Engine(spark, str(tmp_path / "a"), replace(FLASH, max_entries=3, on_full="reject"))
+    assert sorted((r.key, r.status) for r in e.write_batch(kv).collect()) == [(0, "full"), (3, "full"), (4, "full")]
+    assert [e.get(k) for k in range(5)] == [b"v", None, b"v", None, None]
+    assert sorted(r.status for r in e.write_batch(kv.filter("key = 4")).collect()) == [] and e.get(4) == b"v"
+    logs = spark.createDataFrame([(k % 2, k, k, bytearray(b"l")) for k in range(4)], "id bigint, seq bigint, ts bigint, payload binary")
+    assert e.write_logs(logs).count() == 4 and e.logs().count() == 0
+    e = Engine(spark, str(tmp_path / "b"), replace(FLASH, max_entries=3))
+    assert e.write_batch(kv.filter("seq < 9")).count() == 0 and [e.get(k) for k in range(5)] == [None, None, b"v", b"v", b"v"]
+    assert e.write_logs(logs.withColumn("ts", F.col("ts") + 90)).count() == 0 and e.logs().filter("not tombstone").count() == 4
+    assert V.live_count(e.store.read(), ["ns", "id", "slot"]).first()[0] == 3
+    small = Engine(spark, str(tmp_path / "c"), replace(FLASH, on_full="reject"), storage_bytes=100)
+    assert small.put(1, b"a") and not small.put(2, b"b") and small.write_batch(kv).count() == 6 and small.delete(1)
+
+
+def test_typed_calls_strings_and_files(spark, tmp_path):
+    e, c = Engine(spark, str(tmp_path / "s")), PackedStruct([("ts", "u32"), ("t", "f32"), ("s", "u16")])
+    assert e.put_struct(24, c, 5, 27.5, 0xAA55) and e.get_struct(24, c) == (5, 27.5, 0xAA55) and e.get_struct(25, c) is None
+    assert e.put_log_struct(7, c, 1, 0.5, 2) and e.get_log_struct(7, c) == (1, 0.5, 2) and e.get_log_struct(8, c) is None
+    assert e.put(50, b"text\0\0") and e.get_string(50) == "text\0"
+    out = tmp_path / "frames.bin"
+    n = e.export_stream(str(out))
+    raw, at, seen = out.read_bytes(), 0, []
+    while at < len(raw):
+        key, size = struct.unpack_from("<HH", raw, at)
+        seen.append((key, raw[at + 4 : at + 4 + size]))
+        at += 4 + size
+    assert n == len(raw) and seen == [(24, c.pack(5, 27.5, 0xAA55)), (50, b"text\0\0")]
+    assert e.export_stream(str(out), logs=True) == 6 + 10 and out.read_bytes()[:6] == struct.pack("<HHH", 7, 0, 10)
+    assert {r.n_entries for r in e.audit_files().collect()} == {1} and e.audit_files().count() == 3
+    assert e.tick() == 0 and e.audit_files().filter("lvl = 1").count() >= 1 and e.tick() is None and e.get_struct(24, c)[0] == 5
+    assert e.bytes_per_trigger(0, 1.0) == 8192
+
+
+def test_import_of_files(spark, tmp_path):
+    src = tmp_path / "f"
+    src.mkdir()
+    vkey = FLASH.vkey_offset + 7 * 2048
+    (src / "lv0_1.sst").write_bytes(legacy.sst_bytes([(10, 1, False, b"old"), (24, 2, False, b"s"), (50, 3, False, b"gone")]))
+    (src / "lv0_2.sst").write_bytes(legacy.sst_bytes([(10, 4, False, b"new"), (50, 5, True, b"")]))
+    (src / "log_lv0_1.sst").write_bytes(legacy.sst_bytes([(vkey + k, 6 + k, False, bytes([k + 1])) for k in range(3)]))
+    e = Engine(spark, str(tmp_path / "s"))
+    e.import_sst(str(src))
+    assert [e.get(k) for k in (10, 24, 50)] == [b"new", b"s", None] and e.total_log(7) == 3 and e.get_log(7, 2) == b"\3"
+    assert e.put_log(7, b"next") and e.get_log(7, 3) == b"next"
+    wal = tmp_path / "w"
+    wal.mkdir()
+    (wal / "wal_1.log").write_bytes(legacy.wal_bytes([(10, False, b"wal"), (24, True, b"")]) + b"\1")
+    e.import_wal(str(wal))
+    assert e.get(10) == b"wal" and e.get(24) is None
+
+
+def test_wal_frames_query_reads_back(spark):
+    from keelson.plans.queries import kv_versions, wal_frames
+
+    d = "/root/testdata/sf0.01"
+    want = {r.seq: (r.key, r.tombstone, r.event_type.encode()) for r in kv_versions(spark, d).collect()}
+    got = {r.seq: list(legacy.wal_records(bytes(r.frame))) for r in wal_frames(spark, d).collect()}
+    assert got == {k: [v] for k, v in want.items()}
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from keelson.session import work_dir
+
+    conf = lambda found: N(get=lambda k, d: found)
+    with pytest.raises(ValueError, match="share"):
+        work_dir(N(conf=conf(None), sparkContext=N(master="spark://h:1")))
+    assert work_dir(N(conf=conf("hdfs:/x"), sparkContext=N(master="yarn"))) == "hdfs:/x"
+
+
 def test_null_payload_stays_newest(spark):
     v = spark.createDataFrame([(1, 1, False, "a"), (1, 2, False, None), (2, 1, True, None)], "key int, seq bigint, tombstone boolean, payload string")
     assert [tuple(r) for r in V.latest_live(v).select("key", "payload").collect()] == [(1, None)]
