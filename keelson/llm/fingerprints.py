@@ -7,8 +7,15 @@ densification makes by repeated hashing, without an open-ended loop. A borrowed
 bin, else all bins of a short text would agree with another's by chance at once. Each bin keeps BITS low-order bits, packed
 into longs, written as BINS hexadecimal digits. ``likeness`` corrects the share of equal digits for chance matches.
 
+``beside_successors`` pairs each document with the next one by falling doc_id, null ids last. The order is found on
+narrow rows (id, two hashes of the text, length, fingerprint): one range partitioning, a look at the next row, and the first
+rows of the partitions, one each, for the last ones. Texts are then shuffled once by id and hashes, and only the part that a
+predecessor asks for is sent on, so nothing depends on how many documents a partition has.
+
 A text without words (null, empty, white space) has the empty fingerprint, like only itself. Equal texts have equal
-fingerprints. Repeated rows, an empty table and any extra columns are fine; the added columns replace clashing ones.
+fingerprints, and very long ones are read whole. Rows of one id, null ids among them, are in falling order of their
+texts' hashes; repeated rows follow each other. An empty table gives an empty one; extra columns are left out by the query
+and kept by ``fingerprint``, where the added column replaces a clashing one.
 """
 
 from __future__ import annotations
@@ -18,14 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import Work
 from .text import table, words
 
 SHINGLE, BINS, BITS = 5, 128, 4
 LOW = 56
 PER_LONG = 64 // BITS
 LONGS = BINS // PER_LONG
-#: Rows that share a window when documents are paired with their successors.
-BLOCK_ROWS, MAX_BLOCKS = 1024, 2000
 LEAST_ID = -(2**63)
 
 
@@ -79,31 +85,40 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(est)
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and more) with block, and a ghost row at the end of each block: the first row of the next.
-
-    Blocks are ranges of doc_id by approximate quantiles, highest ids first, so successors need no global sort. Only
-    the boundaries, MAX_BLOCKS at most, and the first ids of blocks pass through the driver or a broadcast.
-    """
-    key = F.coalesce("doc_id", _long(LEAST_ID))
-    n = docs.count()
-    blocks = min(MAX_BLOCKS, -(-n // BLOCK_ROWS))
-    cuts = docs.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
-    edges = F.array(*[_long(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    d = docs.withColumn("_key", key).withColumn("block", F.size(F.filter(edges, lambda e: e < F.col("_key"))))
-    tops = sorted(((r["block"], r["top"]) for r in d.groupBy("block").agg(F.max("_key").alias("top")).collect()), reverse=True)
-    spark = docs.sparkSession
-    follow = spark.createDataFrame([(b, tops[(i + 1) % len(tops)][1]) for i, (b, _) in enumerate(tops)], "block int, _key bigint")
-    # Ties of an id: the greatest text comes first.
-    ghosts = d.drop("block").join(F.broadcast(follow), "_key").withColumn("_r", F.row_number().over(Window.partitionBy("block").orderBy(F.col("text").desc_nulls_last()))).filter("_r = 1").drop("_r")
-    return d.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-
-
-def with_successors(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """Adds next_text, the text of the next document by falling doc_id, and gives the window for further columns."""
-    d = in_blocks(docs)
-    w = Window.partitionBy("block").orderBy("ghost", F.col("_key").desc(), F.col("text").desc_nulls_last())
-    return d.withColumn("next_text", F.lead("text").over(w)), w
+KEY = ["key", "h1", "h2"]
+
+
+def in_order(prints: DataFrame, work: Work) -> DataFrame:
+    """Distinct KEY rows of prints (KEY, n, fp) with m, their number of rows, and next, the row that follows (the first
+    after the last)."""
+    groups = prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.count("*").alias("m"))
+    falling = [F.col(c).desc() for c in KEY]
+    groups = work.save(groups.repartitionByRange(*falling).sortWithinPartitions(*falling).withColumn("pid", F.spark_partition_id()), "order")
+    row = F.struct(*KEY, "fp")
+    tops = groups.groupBy("pid").agg(F.max(row).alias("top"))
+    whole = Window.orderBy("pid")
+    beyond = F.coalesce(F.lead("top").over(whole), F.first("top").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tops = work.save(tops.select("pid", beyond.alias("beyond")), "tops")
+    after = F.lead(row).over(Window.partitionBy("pid").orderBy(*falling))
+    return work.save(groups.withColumn("after", after).join(tops, "pid").select(*KEY, "n", "m", "fp", F.coalesce("after", "beyond").alias("next")), "next")
+
+
+def beside_successors(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n, fp, next_fp and head (the first floor(n / 2) code points of the next document) of docs (doc_id, text)."""
+    work = Work(docs.sparkSession, "prints")
+    key = F.coalesce(F.col("doc_id").cast("bigint"), _long(LEAST_ID)).alias("key")
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select("doc_id", key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    prints = add_fingerprint(d.withColumn("n", F.length("text")), "text", "fp").select(*KEY, "n", "fp")
+    order = in_order(work.save(prints, "prints"), work)
+    work.drop("prints")
+    asked = order.select(*[F.col("next")[c].alias(c) for c in KEY], *[F.col(c).alias(f"by_{c}") for c in KEY], F.expr("int(n div 2)").alias("need"))
+    heads = d.join(asked, KEY).groupBy(*[f"by_{c}" for c in KEY]).agg(F.first(F.substring("text", F.lit(1), F.col("need"))).alias("head"))
+    heads = heads.select(*[F.col(f"by_{c}").alias(c) for c in KEY], "head")
+    own = d.join(order, KEY).join(heads, KEY).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY)))
+    last = F.col("nth") == F.col("m")
+    head = F.when(last, F.col("head")).otherwise(F.substring("text", F.lit(1), F.expr("int(n div 2)")))
+    return own.select("doc_id", "text", "n", "fp", F.when(last, F.col("next.fp")).otherwise(F.col("fp")).alias("next_fp"), head.alias("head"))
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -112,13 +127,15 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d, w = with_successors(docs)
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    d = d.withColumns({"n_chars": n.cast("bigint"), "_edited": F.when(~F.col("ghost"), edited)})
-    d = add_fingerprint(add_fingerprint(d, "text", "_a"), "_edited", "_b")
-    d = d.select("block", "ghost", "_key", "text", "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "_a", "_b")
-    d = d.withColumn("_next", F.lead("_a").over(w)).filter(~F.col("ghost"))
-    return d.select("doc_id", "n_chars", "edited_sha256", as_hex("_a").alias("fingerprint"), as_hex("_b").alias("edited_fingerprint"), likeness("_a", "_b").alias("near_edited"), likeness("_a", "_next").alias("near_next"))
+    d = beside_successors(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = F.concat(F.substring("text", F.lit(1), F.expr("int(n - n div 2)")), "head")
+    d = add_fingerprint(d.withColumn("edited", edited).drop("text", "head"), "edited", "edited_fp")
+    return d.select(
+        "doc_id",
+        F.col("n").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_hex("fp").alias("fingerprint"),
+        as_hex("edited_fp").alias("edited_fingerprint"),
+        likeness("fp", "edited_fp").alias("near_edited"),
+        likeness("fp", "next_fp").alias("near_next"),
+    )
