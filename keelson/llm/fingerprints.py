@@ -8,7 +8,7 @@ bin, else all bins of a short text would agree with another's by chance at once.
 into longs, written as BINS hexadecimal digits. ``likeness`` corrects the share of equal digits for chance matches.
 
 ``beside_successors`` pairs each document with the next one by falling doc_id, null ids last. The order is found on
-narrow rows (id, two hashes of the text, length, fingerprint): one range partitioning, a look at the next row, and the first
+narrow rows (id, -2**63 for null, two hashes of the text, length, fingerprint): one range partitioning, a look at the next row, and the first
 rows of the partitions, one each, for the last ones. Texts are then shuffled once by id and hashes, and only the part that a
 predecessor asks for is sent on, so nothing depends on how many documents a partition has.
 
@@ -108,7 +108,8 @@ def beside_successors(docs: DataFrame) -> DataFrame:
     work = Work(docs.sparkSession, "prints")
     key = F.coalesce(F.col("doc_id").cast("bigint"), _long(LEAST_ID)).alias("key")
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    # Both joins take the same four columns, so that they share one exchange of the texts.
+    d = docs.select(key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     prints = add_fingerprint(d.withColumn("n", F.length("text")), "text", "fp").select(*KEY, "n", "fp")
     order = in_order(work.save(prints, "prints"), work)
     work.drop("prints")
@@ -118,7 +119,8 @@ def beside_successors(docs: DataFrame) -> DataFrame:
     own = d.join(order, KEY).join(heads, KEY).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY)))
     last = F.col("nth") == F.col("m")
     head = F.when(last, F.col("head")).otherwise(F.substring("text", F.lit(1), F.expr("int(n div 2)")))
-    return own.select("doc_id", "text", "n", "fp", F.when(last, F.col("next.fp")).otherwise(F.col("fp")).alias("next_fp"), head.alias("head"))
+    doc_id = F.when(F.col("key") != _long(LEAST_ID), F.col("key")).alias("doc_id")
+    return own.select(doc_id, "text", "n", "fp", F.when(last, F.col("next.fp")).otherwise(F.col("fp")).alias("next_fp"), head.alias("head"))
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
