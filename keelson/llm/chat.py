@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, as DataFrame functions only.
 
-``format_chats`` takes turns: conv_id, turn, role and either text or parts, an array of
-(kind, text, ref, units). A visitor flattens the parts of a turn in order: text is escaped, and an image, audio or
+``format_chats`` takes turns: conv_id, turn, role and text, parts or both; parts is an array of (kind, text, ref, units),
+and a turn without one has its text as its only part. A visitor flattens the parts of a turn in order: text is escaped, and an image, audio or
 document part becomes a placeholder such as ``<image:2>``, numbered through the conversation; its reference goes to
 ``attachments`` with the tokens that it expands to (units are tiles, seconds and pages). The template is
 
@@ -10,8 +10,9 @@ document part becomes a placeholder such as ``<image:2>``, numbered through the
 and texts have &, < and [ escaped as character references (roles also ]), so no control string survives inside
 them and ``read_back`` restores every turn. ``loss_spans`` marks assistant bodies as [begin, finish) code points.
 
-Turns are ordered by turn, role, then text; nulls first. A null text, role or part is empty, a null conv_id is a
-conversation of its own, an unknown part kind is dropped, and repeated rows are repeated turns. A conversation
+Turns are ordered by turn, role, text, then parts; nulls first. A null text, role or part is empty, a null conv_id is a
+conversation of its own, a part of unknown kind is its text, repeated rows are repeated turns, an empty table stays
+empty, other columns are left out whatever their names, and texts of any length are taken whole. A conversation
 becomes one row, as it does in any chat format; nothing else is gathered by key.
 """
 
@@ -52,14 +53,23 @@ def _tokens(p: Column) -> Column:
     return F.ceil(per_unit * F.coalesce(p["units"].cast("double"), F.lit(1.0))).cast("bigint")
 
 
-def _visit(turns: DataFrame, in_turn: Window, before: Window) -> DataFrame:
-    """Adds body, attachments: the flattened parts."""
+def _parts(turns: DataFrame) -> Column:
+    """The typed parts of a turn: those it has, else its text as one."""
+
+    def part(kind: Column, text: Column, ref: Column, units: Column) -> Column:
+        return F.struct(kind.cast("string").alias("kind"), text.cast("string").alias("text"), ref.cast("string").alias("ref"), units.cast("double").alias("units"))
+
+    null = F.lit(None)
+    text = F.array(part(F.lit("text"), F.col("text") if "text" in turns.columns else null, null, null))
     if "parts" not in turns.columns:
-        none = F.array().cast("array<struct<ordinal:bigint,kind:string,ref:string,tokens:bigint>>")
-        return turns.withColumns({"body": escape(F.col("text")), "attached": none})
-    parts = F.coalesce("parts", F.array().cast(turns.schema["parts"].dataType))
-    n_here = F.size(F.filter(parts, _is_attachment)).cast("bigint")
-    turns = turns.withColumns({"parts": parts, "_n": n_here})
+        return text
+    return F.coalesce(F.transform("parts", lambda p: part(p["kind"], p["text"], p["ref"], p["units"])), text)
+
+
+def _visit(turns: DataFrame, before: Window) -> DataFrame:
+    """Adds body, attached: the flattened parts."""
+    n_here = F.size(F.filter("parts", _is_attachment)).cast("bigint")
+    turns = turns.withColumn("_n", n_here)
     turns = turns.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint"))
 
     def ordinal(i: Column) -> Column:
@@ -67,7 +77,7 @@ def _visit(turns: DataFrame, in_turn: Window, before: Window) -> DataFrame:
 
     def flat(p: Column, i: Column) -> Column:
         mark = F.concat(F.lit("<"), p["kind"], F.lit(":"), ordinal(i).cast("string"), F.lit(">"))
-        return F.when(_is_attachment(p), mark).when(p["kind"] == "text", escape(p["text"])).otherwise("")
+        return F.when(_is_attachment(p), mark).otherwise(escape(p["text"]))
 
     def record(p: Column, i: Column) -> Column:
         return F.when(_is_attachment(p), F.struct(ordinal(i).alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
@@ -77,12 +87,10 @@ def _visit(turns: DataFrame, in_turn: Window, before: Window) -> DataFrame:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens."""
-    content = "parts" if "parts" in turns.columns else "text"
-    turns = turns.select("conv_id", "turn", "role", content)
-    order = ["turn", "role", F.to_json(F.struct(content)) if content == "parts" else F.col(content)]
-    w = Window.partitionBy("conv_id").orderBy(*order)
+    turns = turns.select("conv_id", "turn", "role", _parts(turns).alias("parts"), (F.col("text") if "text" in turns.columns else F.lit(None).cast("string")).alias("text"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "parts")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    t = _visit(turns, w, before)
+    t = _visit(turns, before)
     head = F.concat(F.lit("["), F.replace(escape(F.col("role")), F.lit("]"), F.lit("&#93;")), F.lit("]\n"))
     t = t.withColumns({"_k": F.row_number().over(w), "_head": head})
     t = t.withColumn("_len", (F.length("_head") + F.length("body") + len(END)).cast("bigint"))

@@ -5,8 +5,10 @@ subdomains when the url's path starts with the prefix; more host labels win over
 a tie of both, block wins. Null urls and urls without ``://`` have an empty host and path, so only a rule of an empty
 host could fit; the default verdict stands for them. Extra columns pass through; clashing ones are replaced.
 
-The trie is broadcast only up to MAX_TRIE_RULES rules; beyond that, urls are joined with the rule table on each
-suffix of their host.
+The trie is broadcast only up to MAX_TRIE_RULES rules of MAX_TRIE_CHARS characters together; beyond that, urls are joined
+with the rule table on a suffix of their host and a prefix of their path, both by equality. Repeated urls are judged alike,
+an empty table stays empty, without rules the default stands for all, and urls of any length are taken whole. Hosts
+are lower-cased A-Z only, in urls and rules.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import lower_ascii, table
+from .text import LOWER, UPPER, lower_ascii, table
 
 Rule = tuple[str, str, str]
-MAX_TRIE_RULES = 200_000
+MAX_TRIE_RULES, MAX_TRIE_CHARS = 200_000, 16_000_000
 #: The contract's rules.
 RULES: list[Rule] = [
     ("com", "/en/", "block"),
@@ -37,7 +39,7 @@ class Trie:
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {"next": {}, "path": None}
         for host, path, verdict in rules:
-            self.add(host.lower(), path, verdict)
+            self.add(host.translate(str.maketrans(UPPER, LOWER)), path, verdict)
 
     def add(self, host: str, path: str, verdict: str) -> None:
         node = self.root
@@ -86,10 +88,10 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow
     """Adds host, path, rule (null without one) and verdict."""
     pages = with_host_and_path(pages.drop("rule", "verdict"))
     if isinstance(rules, DataFrame):
-        head = rules.select("host", "path", "verdict").limit(MAX_TRIE_RULES + 1).collect()
-        if len(head) > MAX_TRIE_RULES:
+        size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("chars")).first()
+        if size.n > MAX_TRIE_RULES or size.chars > MAX_TRIE_CHARS:
             return _by_join(pages, rules, default)
-        rules = [tuple(r) for r in head]
+        rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -102,13 +104,17 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow
 
 
 def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for any number of rules: candidates are counted per host, not per page."""
+    """The same for any number of rules. A host suffix with rules gives the lengths of their paths, so a distinct host and
+    path meets at most one rule for each suffix and length."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = pages.select("host", "path").distinct()
-    r = rules.select(F.lower("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
-    hit = paths.withColumn("_h", F.explode(suffixes)).join(r, "_h").filter(F.col("path").startswith(F.col("_p")))
-    order = F.struct(F.size(F.split("_h", r"\.")), F.length("_p"), F.col("_v"))
+    r = rules.select(lower_ascii(F.col("host")).alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
+    r = r.groupBy("_h", "_p").agg(F.max("_v").alias("_v"))
+    lengths = r.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_n"))
+    asked = pages.select("host", "path").distinct().withColumn("_h", F.explode(suffixes)).join(lengths, "_h")
+    asked = asked.select("host", "path", "_h", F.explode(F.filter("_n", lambda n: n <= F.length("path"))).alias("_n"))
+    hit = asked.withColumn("_p", F.substr("path", F.lit(1), F.col("_n"))).join(r, ["_h", "_p"])
+    order = F.struct(F.size(F.split("_h", r"\.")), "_n")
     best = hit.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")), order).alias("_hit"))
     out = pages.join(best, ["host", "path"], "left")
     return out.select(*pages.columns, F.col("_hit.rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
