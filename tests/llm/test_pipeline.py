@@ -1,5 +1,12 @@
 """The stages against plain rebuilding of their decisions on the small tables."""
 
+import re
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
 from keelson.llm import classifier, near_dedup, packing, quality_rules
 
@@ -31,6 +38,76 @@ def test_stages(spark, tmp_path):
     assert final.columns == packing.COLUMNS and final.count() > 0
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def one_of_each_group(rows):
+    """doc_ids that stay, from all pairs of full shingle sets."""
+    sets = {}
+    for r in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(r.text or "")]
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return [i for i in ids if top[i] == i]
+
+
+def test_near_dedup_and_packing_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    want = one_of_each_group(rows)
+    assert len(want) < len(rows)
+    kept = cp.by_near_dedup(spark, docs, DATA).collect()
+    assert sorted(kept) == sorted(r for r in rows if r.doc_id in set(want))
+
+    plain = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    pieces, places = {}, {}
+    for r in cp.by_packing(spark, spark.createDataFrame([*kept, kept[0]], docs.schema), DATA).collect():
+        pieces.setdefault((r.doc_id, r.document), []).append(r)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    texts = {r.doc_id: r.text for r in kept}
+    assert sorted(i for i, _ in pieces) == sorted([*want, kept[0].doc_id])
+    for (i, _), own in pieces.items():
+        ids = np.array([*plain.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for own in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)])]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_verdicts_of_the_filters_take_effect(spark):
+    """What the base rules reject never stays, whatever the method says of the rest; planted junk goes, prose stays."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in cp.by_rules(spark, docs, DATA).collect()}
+    for r in docs.collect():
+        w = WORD.findall(r.text or "")
+        windows = {}
+        for k in range(len(w) - 4):
+            windows.setdefault(tuple(w[k : k + 5]), []).append(k)
+        repeated = {k + j for at in windows.values() if len(at) > 1 for k in at for j in range(5)}
+        if len(w) < 10 or 100 * len(repeated) > 20 * len(w):
+            assert r.doc_id not in kept
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    good = {r.doc_id for r in cp.by_classifier(spark, docs, DATA).collect()}
+    right = [(i in good) == (q == 1) for i, q in labels.items()]
+    assert np.mean(right) == pytest.approx(1, abs=0.06)
+
+
 ODD = [
     (1, "a b c d e f g h", "en", "s", 15),
     (1, "a b c d e f g h", "en", "s", 15),
