@@ -220,10 +220,14 @@ def log_wire_frames(s, d):
 
 def wal_frames(s, d):
     v = kv_versions(s, d)
-    return v.select("seq", K.wal_frame(F.col("key"), F.encode("event_type", "UTF-8"), F.col("tombstone")).alias("frame"))
+    return v.select("seq", F.hex(K.wal_frame(F.col("key"), F.encode("event_type", "UTF-8"), F.col("tombstone"))).alias("frame"))
 
 
 LE2 = "printf('%02X%02X', {x} & 255, ({x} >> 8) & 255)"
+#: Frames before their check, and CRC-32 bit by bit over the bytes of one (reflected polynomial 0xEDB88320).
+_WAL = f"(select seq, {LE2.format(x='key')} || {LE2.format(x='octet_length(encode(event_type))')} || '0000' || hex(encode(event_type)) || case when tombstone then '01' else '00' end as h from {KV_SQL})"
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+ lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))"""
 _AUDIT = f"select *, seq // 512 as file_id, cast(seq // 512 % 2 as int) as lvl, 'kv' as ns, cast(octet_length(encode(props)) + 13 as bigint) as bytes from {KV_SQL}"
 
 ORACLES: dict[str, str] = {
@@ -260,6 +264,7 @@ ORACLES: dict[str, str] = {
     "namespace_split": f"select count(*) filter (where vkey >= {OFFSET}) as n_log, count(*) filter (where vkey < {OFFSET}) as n_kv from (select cast(key as bigint) as vkey from {KV_SQL} union all select {OFFSET} + id * 2048 + slot from {LOG_SQL})",
     "kv_wire_frames": f"select key, {LE2.format(x='key')} || {LE2.format(x='octet_length(encode(props))')} || hex(encode(props)) as frame from {KV_LIVE.format(where='')}",
     "log_wire_frames": f"select id, slot, {LE2.format(x='id')} || {LE2.format(x='slot')} || {LE2.format(x='octet_length(encode(event_type))')} || hex(encode(event_type)) as frame from {PICK_LOG}",
+    "wal_frames": f"select seq, h || {LE2.format(x='c')} || {LE2.format(x='(c >> 16)')} as frame from (select seq, h, xor({_CRC}, 4294967295) as c from {_WAL})",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SST_HEADER = struct.Struct("<IIIB")
 SST_SCHEMA = "path string, n bigint, vkey bigint, ts bigint, tombstone boolean, payload binary"
@@ -84,8 +86,17 @@ def read_wal(spark: SparkSession, path: str, key_width: int = 2) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, WAL_SCHEMA)
 
 
+def _open_at(where: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (pafs.LocalFileSystem(), where)
+
+
 class WalSource(DataSource):
-    """spark.read.format("ring_wal").load(path): the same frames as a registered source, a partition per file."""
+    """Write-ahead logs as a registered source and sink.
+
+    spark.read.format("ring_wal").load(path) gives the frames, a partition per file of a comma-separated list;
+    df.write.format("ring_wal").mode("append").save(folder) writes (key, tombstone, payload), a file per task. Files are
+    named by task number, so logs of sorted rows are replayed in their order.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -94,8 +105,65 @@ class WalSource(DataSource):
     def schema(self) -> str:
         return "key bigint, tombstone boolean, payload binary"
 
+    def _width(self) -> int:
+        return int(self.options.get("keyWidth", "2"))
+
     def reader(self, schema) -> DataSourceReader:
-        return _WalReader(self.options["path"], int(self.options.get("keyWidth", "2")))
+        return _WalReader(self.options["path"], self._width())
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        width = self._width()
+        return _RecordWriter(self.options["path"], "wal_{:05d}.log", lambda rows: wal_bytes(((r.key, bool(r.tombstone), bytes(r.payload or b"")) for r in rows), width))
+
+
+class SstSource(DataSource):
+    """Sink of sorted-table files: df.write.format("ring_sst").option("prefix", "log_lv0").mode("append").save(folder) writes
+    (vkey, ts, tombstone, payload), a file per task; sort rows within partitions by vkey."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ring_sst"
+
+    def schema(self) -> str:
+        return "vkey bigint, ts bigint, tombstone boolean, payload binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        prefix = self.options.get("prefix", "lv0")
+        return _RecordWriter(self.options["path"], prefix + "_{:05d}.sst", lambda rows: sst_bytes((r.vkey, r.ts, bool(r.tombstone), bytes(r.payload or b"")) for r in rows))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    part: str
+    final: str
+
+
+class _RecordWriter(DataSourceWriter):
+    """Each attempt of a task writes a hidden file of its own; commit renames those of the attempts that counted."""
+
+    def __init__(self, folder: str, pattern: str, encode: Callable[[Iterator], bytes]):
+        self.folder, self.pattern, self.encode = folder.rstrip("/"), pattern, encode
+
+    def write(self, iterator) -> WriterCommitMessage:
+        task = TaskContext.get()
+        fs, folder = _open_at(self.folder)
+        fs.create_dir(folder)
+        final = self.pattern.format(task.partitionId())
+        part = f".{final}.{task.taskAttemptId()}"
+        with fs.open_output_stream(f"{folder}/{part}") as f:
+            f.write(self.encode(iterator))
+        return _Written(part, final)
+
+    def commit(self, messages) -> None:
+        fs, folder = _open_at(self.folder)
+        for m in messages:
+            fs.move(f"{folder}/{m.part}", f"{folder}/{m.final}")
+
+    def abort(self, messages) -> None:
+        fs, folder = _open_at(self.folder)
+        for m in messages:
+            if m is not None:
+                fs.delete_file(f"{folder}/{m.part}")
 
 
 class _WalReader(DataSourceReader):
@@ -106,7 +174,6 @@ class _WalReader(DataSourceReader):
         return [InputPartition(p) for p in self.path.split(",")]
 
     def read(self, partition):
-        where = partition.value
-        fs, at = pafs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (pafs.LocalFileSystem(), where)
+        fs, at = _open_at(partition.value)
         with fs.open_input_stream(at) as f:
             yield from wal_records(f.read(), self.key_width)

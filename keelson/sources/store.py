@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -27,10 +27,16 @@ COLUMNS = ["ns", "id", "slot", "seq", "ts", "tombstone", "payload"]
 #: live is an upper bound of the live rows: rows written since it was last counted are added to it.
 EMPTY = {"version": 0, "folders": [], "state": None, "next_seq": 1, "live": 0}
 
+#: A column with a dictionary gets no Bloom filter.
+BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.enable.dictionary#id": "false"}
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """With cache, the rows of the newest manifest that was read stay in the executors' memory and on their disks."""
+
+    def __init__(self, spark: SparkSession, root: str, cache: bool = False):
+        self.spark, self.root, self.cache = spark, root.rstrip("/"), cache
+        self._cached: tuple[list, DataFrame] | None = None
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -58,7 +64,18 @@ class Store:
         m = m or self.manifest()
         if not m["folders"]:
             return self.spark.createDataFrame([], ENVELOPE)
-        return self.spark.read.schema(ENVELOPE).parquet(*[f"{self.root}/{f}" for f in m["folders"]])
+        if self._cached and self._cached[0] == m["folders"]:
+            return self._cached[1]
+        rows = self.spark.read.schema(ENVELOPE).parquet(*[f"{self.root}/{f}" for f in m["folders"]])
+        if self.cache:
+            self.uncache()
+            self._cached = m["folders"], rows.persist()
+        return rows
+
+    def uncache(self) -> None:
+        if self._cached:
+            self._cached[1].unpersist()
+            self._cached = None
 
     def counts(self, m: dict) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.root}/{m['state']}") if m["state"] else None
@@ -83,7 +100,7 @@ class Store:
         kv = V.latest_live(v.filter("ns = 'kv'"), ["ns", "id", "slot"])
         log = V.log_retention(v.filter("ns = 'log'").drop("ns"), history).withColumn("ns", F.lit("log"))
         out = kv.unionByName(log).select(*COLUMNS).repartitionByRange("ns", "id", "slot").sortWithinPartitions("ns", "id", "slot")
-        out.write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.root}/base-{n}")
+        out.write.mode("overwrite").options(**BLOOM).parquet(f"{self.root}/base-{n}")
         m |= {"version": n, "folders": [f"base-{n}"]}
         self.publish(m)
         return m
@@ -111,6 +128,7 @@ class Store:
                 self._fs.delete(s.getPath(), True)
 
     def clear(self) -> None:
+        self.uncache()
         self._fs.delete(self._path(self.root), True)
         self._fs.mkdirs(self._path(self.root))
 
@@ -131,13 +149,13 @@ class Engine:
     """Key-value and ring-log calls over a Store. Opening it twice is harmless; it has no background task.
 
     storage_bytes is the room for files: beyond nine tenths of it the store counts as full. With auto, every bulk or
-    point write is followed by tick().
+    point write is followed by tick(). With cache, reads keep the rows of the newest version (see Store).
     """
 
     version = ENGINE_VERSION
 
-    def __init__(self, spark: SparkSession, root: str, profile: Profile = FLASH, clock=None, storage_bytes: int | None = None, auto: bool = False):
-        self.spark, self.profile, self.store = spark, profile, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, profile: Profile = FLASH, clock=None, storage_bytes: int | None = None, auto: bool = False, cache: bool = False):
+        self.spark, self.profile, self.store = spark, profile, Store(spark, root, cache)
         self.storage_bytes, self.auto = storage_bytes, auto
         self._clock = clock or (lambda seq: seq)
 
@@ -256,10 +274,10 @@ class Engine:
         self._import(wal.withColumnRenamed("key", "vkey").withColumns({"ts": F.lit(0).cast("bigint"), "at": F.struct("path", "n")}))
 
     def _import(self, rows: DataFrame) -> None:
-        """Rows (vkey, ts, tombstone, payload, at) in the order of at. Counts of log ids go on after their highest slot."""
+        """Rows (vkey, ts, tombstone, payload, at) in the order of at, numbered with gaps by sorted partitions. Counts of log ids go on after their highest slot."""
         m, p = self.store.manifest(), self.profile
         log = K.is_log(F.col("vkey"), p)
-        rows = V.empty_is_tombstone(rows, "payload").withColumns({"seq": F.row_number().over(Window.orderBy("at")) + m["next_seq"] - 1, "ns": F.when(log, "log").otherwise("kv")})
+        rows = V.empty_is_tombstone(rows, "payload").orderBy("at").withColumns({"seq": F.monotonically_increasing_id() + m["next_seq"], "ns": F.when(log, "log").otherwise("kv")})
         rows = rows.withColumns({"slot": F.when(log, K.unpack_slot(F.col("vkey"), p)), "id": F.when(log, K.unpack_id(F.col("vkey"), p)).otherwise(F.col("vkey")).cast("bigint"), "seq": F.col("seq").cast("bigint")})
         state = rows.filter("ns = 'log'").groupBy("id").agg((F.max("slot") + 1).cast("bigint").alias("n"))
         counts = self.store.counts(m)

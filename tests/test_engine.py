@@ -164,7 +164,7 @@ def test_wal_frames_query_reads_back(spark):
 
     d = "/root/testdata/sf0.01"
     want = {r.seq: (r.key, r.tombstone, r.event_type.encode()) for r in kv_versions(spark, d).collect()}
-    got = {r.seq: list(legacy.wal_records(bytes(r.frame))) for r in wal_frames(spark, d).collect()}
+    got = {r.seq: list(legacy.wal_records(bytes.fromhex(r.frame))) for r in wal_frames(spark, d).collect()}
     assert got == {k: [v] for k, v in want.items()}
 
 
@@ -246,3 +246,59 @@ def test_flush_split_replays_a_batch(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert spark.read.parquet(str(tmp_path / "kv")).count() == 1 and spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_stored_queries_reach_their_branches(spark):
+    """At sf0.01 guards, capacity and merges all have rows on both sides."""
+    from keelson.plans import store_queries as Q
+
+    d = "/root/testdata/sf0.01"
+    assert {r.status for r in Q.store_rejects(spark, d).collect()} == {"bad_key", "bad_size"}
+    assert 0 < Q.store_full(spark, d).count() < Q.kv_rows(spark, d).count()
+    assert Q.store_evicts(spark, d).count() == 300
+    assert {r.lvl for r in Q.store_audit(spark, d).collect()} == {0, 1, None}
+
+
+def test_cached_reads_follow_the_newest_version(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), cache=True)
+    assert e.put(1, b"a") and e.get(1) == b"a" and e.store.read().is_cached and e.store.read() is e.store.read()
+    old = e.store.read()
+    assert e.put(1, b"b") and e.get(1) == b"b" and not old.is_cached
+    e.compact()
+    assert e.get(1) == b"b" and e.format() and e.get(1) is None
+    assert not Engine(spark, str(tmp_path / "plain")).store.read().is_cached
+
+
+def test_merged_files_have_bloom_filters(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.col("id").alias("seq"), F.col("id").alias("ts"), F.lit(False).alias("tombstone"), F.lit(b"v").alias("payload"))
+    e.write_batch(rows)
+    e.compact()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [f for f in tmp_path.glob("base-*/*.parquet")]
+    assert files
+    for f in files:
+        at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+        for block in reader.getRowGroups():
+            offsets = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in block.getColumns()}
+            assert offsets["id"] > 0 > offsets["seq"]
+        reader.close()
+
+
+def test_record_sinks_round_trip(spark, tmp_path):
+    spark.dataSource.register(legacy.WalSource)
+    spark.dataSource.register(legacy.SstSource)
+    rows = [(k % 50, k % 7 == 0, b"" if k % 7 == 0 else b"p" * (k % 300)) for k in range(1, 400)]
+    df = spark.createDataFrame([(k, t, bytearray(p)) for k, t, p in rows], "key bigint, tombstone boolean, payload binary").repartition(3)
+    df.write.format("ring_wal").option("keyWidth", "4").mode("append").save(str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").iterdir())) == 3
+    got = legacy.read_wal(spark, str(tmp_path / "w"), 4).collect()
+    assert sorted((r.key, r.tombstone, bytes(r.payload)) for r in got) == sorted((k, t or not p, p) for k, t, p in rows)
+    df.selectExpr("key as vkey", "key as ts", "tombstone", "payload").write.format("ring_sst").mode("append").save(str(tmp_path / "s"))
+    got = legacy.read_sst(spark, str(tmp_path / "s")).collect()
+    assert sorted((r.vkey, r.ts, r.tombstone, bytes(r.payload)) for r in got) == sorted((k, k, t, p) for k, t, p in rows)
+    bad = df.selectExpr("case when key = 9 then 99999 else key end as key", "tombstone", "payload")
+    with pytest.raises(Exception, match="format requires"):
+        bad.write.format("ring_wal").mode("append").save(str(tmp_path / "b"))
+    assert not [f for f in (tmp_path / "b").iterdir() if not f.name.startswith(".")]

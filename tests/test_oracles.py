@@ -6,7 +6,9 @@ import math
 import duckdb
 import pytest
 
-from keelson.plans.queries import ORACLES, QUERIES
+from keelson.plans import queries, store_queries
+
+ORACLES, QUERIES = queries.ORACLES | store_queries.ORACLES, queries.QUERIES | store_queries.QUERIES
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
