@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import classifier, mixing, near_dedup, packing, quality_rules
@@ -29,11 +29,11 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _take(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
-    """The rows whose name is among kept (name); of equal rows all, or one."""
-    rows = docs.select(F.xxhash64(*docs.columns).alias("name"), F.struct(*docs.columns).alias("row")).join(kept.select("name").distinct(), "name", "left_semi")
+    """The rows whose name is among kept (name); of equal rows all, or one, which each task picks before the shuffle."""
+    rows = docs.select(F.xxhash64(*docs.columns).alias("name"), F.struct(*docs.columns).alias("row"))
     if once:
-        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("name"))).filter("nth = 1")
-    return rows.select("row.*")
+        rows = rows.groupBy("name").agg(F.first("row").alias("row"))
+    return rows.join(kept.select("name").distinct(), "name", "left_semi").select("row.*")
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
